@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,22 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, so that workers need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_lumenframe_shipped", False):
+        return
+    top = Path(__file__).parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lumenframe-")) / "lumenframe.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(top.rglob("*.py")):
+            archive.write(source, source.relative_to(top.parent))
+    context.addPyFile(str(target))
+    context._lumenframe_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
