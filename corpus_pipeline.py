@@ -1,12 +1,65 @@
-"""A corpus from documents in stages; each stage's result is written and read again as the next one's input."""
+"""A training corpus from documents in five stages; each stage's result is written and read again as the next one's input.
+
+Language identification drops what it cannot name, line dedup takes repeated lines out of the texts, near-dedup keeps
+one document of each group, mixing draws (and repeats) documents to their sources' targets in training order, and BPE
+turns them into tokens. Every stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the
+columns of documents, the last one tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm import bpe, langid, line_dedup, mixing, near_dedup
+from lumenframe.llm.common import fresh_path, ship, table
+
+#: A prediction below this posterior counts as rejected, as does `und`.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised. Nulls and texts without a letter go."""
+    return langid.predict(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with repeated lines taken out of their texts, n_chars counted anew. No document goes."""
+    kept = line_dedup.deduplicate(docs)
+    return kept.select([F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the least id. Rows that repeat an id stay together."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes of a document, sorted by training position. A last copy that is taken in part stands whole."""
+    plan = mixing.mix(docs).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"), "position")
+    copies = plan.select("doc_id", "position", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).dropDuplicates(["doc_id", "copy"])
+    drawn = docs.join(copies.hint("merge"), "doc_id")
+    return drawn.orderBy(F.col("copy") - 1 + F.col("position"), "doc_id").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digest of what they decode to, for every row."""
+    return bpe.encode_documents(docs, bpe.vocabulary_path(), "ids array<int>, decoded_sha256 string")
+
+
+STAGES = [("language", language), ("line_dedup", line_duplicates), ("near_dedup", near_duplicates), ("mixing", mixed), ("bpe", tokens)]
 
-STAGES: list = []
+#: Stages use learned models, min-hash and BPE, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the table of documents."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -181,27 +182,31 @@ def model(path: str) -> ForcedBoundaryBPE:
     return _models[path]
 
 
-def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """doc_id, n_tokens and ids (array) and decoded (string); with digests their SHA-256 in hex instead of them."""
-    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+def encode_documents(docs: DataFrame, path: str, give: str = "ids array<int>, decoded string") -> DataFrame:
+    """doc_id, n_tokens and what is asked for of ids (array<int>), decoded, ids_sha256 and decoded_sha256 (hex; string)."""
+    asked = [x.split()[0] for x in give.split(", ")]
+    makers = {
+        "ids": lambda ids, _: np.array(ids.split(), np.int32),
+        "decoded": lambda _, decoded: decoded,
+        "ids_sha256": lambda ids, _: hashlib.sha256(ids.encode()).hexdigest(),
+        "decoded_sha256": lambda _, decoded: hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(),
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
-        for batch in batches:
-            texts = batch.column(1)
-            n, a, b = [], [], []
-            for value in texts:
-                ids, decoded = bpe.run(value.as_py() or "")
-                n.append(ids.count(" ") + 1 if ids else 0)
-                if digests:
-                    a.append(hashlib.sha256(ids.encode()).hexdigest())
-                    b.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                else:
-                    a.append([int(x) for x in ids.split()])
-                    b.append(decoded)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string() if digests else pa.list_(pa.int32())), pa.array(b, pa.string())], ["doc_id", "n_tokens", *(x.split()[0] for x in rest.split(", "))])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {rest}")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                n, columns = [], [[] for _ in asked]
+                for value in batch.column(1):
+                    ids, decoded = bpe.run(value.as_py() or "")
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    for name, column in zip(asked, columns, strict=True):
+                        column.append(makers[name](ids, decoded))
+                arrays = [pa.array(c, pa.list_(pa.int32()) if name == "ids" else pa.string()) for name, c in zip(asked, columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *arrays], ["doc_id", "n_tokens", *asked])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {give}")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -211,4 +216,4 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), "ids_sha256 string, decoded_sha256 string")
