@@ -165,7 +165,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = 8 * partitions(spark)
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("c"), F.max("key").alias("top")).first()
     if cuts["top"] is None:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        return rows.select("doc_id", "text", "key", F.col("text").alias("next_text"), F.col("key").alias("next_key"))
     cuts = sorted({*cuts["c"], cuts["top"]})
     wide = max(1, round(len(cuts) ** 0.5))
     all_cuts, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[wide - 1 :: wide]))
@@ -176,7 +176,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     to = F.when(at_cut, F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("guest")), F.struct(((F.col("range") + 1) % len(cuts)).alias("r"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("guest"))))
     dealt = rows.select("doc_id", "key", "text", F.explode(to).alias("to")).select("doc_id", "key", "text", "to.r", "to.guest")
     order = Window.partitionBy("r").orderBy("guest", F.col("key").desc(), F.col("text").desc())
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
+    nexts = {"next_text": F.lead("text").over(order), "next_key": F.lead("key").over(order)}
+    return dealt.withColumns(nexts).where("guest = 0").select("doc_id", "text", "key", "next_text", "next_key")
 
 
 def _edited() -> Column:
@@ -192,16 +193,21 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     equal canonical texts, else 0. A table of one row is its own next.
     """
     pairs = with_next(docs).withColumn("edited", _edited())
-    canon = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"), canonical(F.col("next_text")).alias("x"))
+    forms = F.transform(F.array("text", "edited", "next_text"), canonical)
+    canon = pairs.select("doc_id", "key", "next_key", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), forms.alias("forms"))
+    canon = canon.select("*", F.col("forms")[0].alias("c"), F.col("forms")[1].alias("e"), F.col("forms")[2].alias("x"))
     near = lambda other: (F.col("c") == F.col(other)).cast("double")
-    rows = stored(canon.select("doc_id", "n_chars", "edited_sha256", *wide_hash(F.col("c"), "a", "b"), *wide_hash(F.col("e"), "ea", "eb"), F.sha2("c", 256).alias("proof"), F.sha2("e", 256).alias("edited_proof"), near("e").alias("near_edited"), near("x").alias("near_next")), "fingerprints")
+    rows = stored(canon.select("doc_id", "key", "next_key", "n_chars", "edited_sha256", *wide_hash(F.col("c"), "a", "b"), *wide_hash(F.col("e"), "ea", "eb"), F.sha2("c", 256).alias("proof"), F.sha2("e", 256).alias("edited_proof"), near("e").alias("near_edited"), near("x").alias("near_next")), "fingerprints")
     hashes = rows.select("a", "b", F.lit(0).alias("edit")).unionByName(rows.select(F.col("ea").alias("a"), F.col("eb").alias("b"), F.lit(1).alias("edit")))
     groups = stored(hashes.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("edit").alias("edits")).where("n > 1"), "groups")
     own = docs.select(canonical(F.col("text")).alias("canon")).select(*wide_hash(F.col("canon"), "a", "b"), "canon")
     inside = having(own, groups.select("a", "b"), ["a", "b"])
     mixed = groups.where("edits > 0").select("a", "b")
     if not mixed.isEmpty():
-        edited = with_next(docs).select(canonical(_edited()).alias("canon")).select(*wide_hash(F.col("canon"), "a", "b"), "canon")
+        # only the rows in question and their nexts are put side by side again: no other row stands between those
+        wanted = rows.join(mixed.select(F.col("a").alias("ea"), F.col("b").alias("eb")), ["ea", "eb"], "left_semi").select(F.explode(F.array("key", "next_key")).alias("key"))
+        some = having(docs.withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID)).cast("long")), stored(wanted.distinct(), "wanted"), ["key"])
+        edited = with_next(some).select(canonical(_edited()).alias("canon")).select(*wide_hash(F.col("canon"), "a", "b"), "canon")
         inside = inside.unionByName(having(edited, mixed, ["a", "b"]))
     ranks = collision_ranks(inside)
     marks = [F.lit(""), F.lit("")]
