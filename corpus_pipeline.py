@@ -20,6 +20,7 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Nulls and texts without a letter go."""
+    ship(spark)
     return langid.predict(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
@@ -31,6 +32,7 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least id. Rows that repeat an id stay together."""
+    ship(spark)
     kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
@@ -45,6 +47,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of what they decode to, for every row."""
+    ship(spark)
     return bpe.encode_documents(docs, bpe.vocabulary_path(), "ids array<int>, decoded_sha256 string")
 
 

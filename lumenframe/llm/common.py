@@ -14,12 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python workers look at about this many bytes of text at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+
+
+#: Rows and bytes of text that a Python worker is sent at a time. Spark's own 10,000 rows may be a gigabyte of long texts.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, so that workers need no copy of their own."""
+    """Sends this package to the executors once a session, so that workers need no copy of their own, and bounds what workers are sent at a time."""
     context = spark.sparkContext
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     if getattr(context, "_lumenframe_shipped", False):
         return
     top = Path(__file__).parents[1]

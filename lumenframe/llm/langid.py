@@ -26,6 +26,8 @@ from lumenframe.llm.common import mix64, row_chunks, string_view, table
 #: Hashed n-grams, and their lengths (fixed values of the model).
 FEATURES = 1 << 16
 LENGTHS = (1, 2, 3)
+#: Texts are scored this many bytes at a time; a place costs some hundred bytes of arrays.
+STRETCH = 1 << 18
 #: Learned from about this many documents of each language at most, those of least hash; more adds nothing measurable.
 TRAIN_PER_LANGUAGE = 4_000
 #: The most languages a model has: the most frequent ones.
@@ -46,7 +48,7 @@ def ngrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     """For row ranges of a string column: (from, to, feature of each n-gram, its row less from, letters of each row)."""
     lowered = pc.utf8_lower(column.fill_null("") if column.null_count else column)
     data, offsets = string_view(lowered)
-    for a, b in row_chunks(offsets):
+    for a, b in row_chunks(offsets, STRETCH):
         raw = data[offsets[a] : offsets[b]]
         starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         bounds = starts[offsets[a : b + 1] - offsets[a]]

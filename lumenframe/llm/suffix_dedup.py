@@ -38,7 +38,7 @@ GRAMS = LENGTH - GRAM + 1
 MODULUS = 32
 #: The most classes of a bucket that one task sorts.
 SORTED = 4096
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: A run is kept as one number: anchor, and its distance from the run's first and last window.
 _FIRST, _LAST = 14, 7
 _MASK = (1 << 7) - 1
