@@ -94,14 +94,14 @@ add("src12_tile_index", "SELECT y, x, (y {idiv} 16) * 4 + x {idiv} 16 AS chunk F
 add("srt7_tile_limit", "SELECT y {idiv} 16 AS ty, x {idiv} 16 AS tx, count(*) AS n, round(sum(v), 4) + 0 AS total FROM plane WHERE y < 128 GROUP BY y {idiv} 16, x {idiv} 16")
 add("srt8_row_limit", "SELECT y, min(x) AS first, max(x) AS last, round(avg(v), 6) + 0 AS mean FROM plane WHERE y BETWEEN 3 AND 77 GROUP BY y")
 add("agg7_box_downsample", "SELECT y {idiv} 2 AS y2, x {idiv} 2 AS x2, round(avg(v), 6) + 0 AS v FROM plane GROUP BY y {idiv} 2, x {idiv} 2")
+# a row weighs on the target whose centre it is (odd) or on the two beside it (even); targets end with the last whole pair
 add("agg8_triangle_downsample", """
-WITH o AS (SELECT {unnest} AS d), t AS (SELECT (y + a.d) {idiv} 2 AS y2, (x + b.d) {idiv} 2 AS x2, y, x, v, a.d AS dy, b.d AS dx FROM plane CROSS JOIN o a CROSS JOIN o b),
-k AS (SELECT y2, x2, v, (CASE y - 2 * y2 - 1 WHEN 0 THEN 1.0 ELSE 0.5 END) * (CASE x - 2 * x2 - 1 WHEN 0 THEN 1.0 ELSE 0.5 END) AS w FROM t WHERE y2 >= 0 AND x2 >= 0 AND y2 < 250 AND x2 < 32 AND abs(y - 2 * y2 - 1) <= 1 AND abs(x - 2 * x2 - 1) <= 1),
-u AS (SELECT y2, x2, v, w, row_number() OVER (PARTITION BY y2, x2, v, w ORDER BY v) AS c FROM k)
-SELECT y2, x2, round(sum(v * w) / sum(w), 5) + 0 AS v FROM (SELECT DISTINCT y2, x2, v, w FROM k) d GROUP BY y2, x2""".strip().replace("\n", " "), spark={"unnest": "explode(array(-1, 0, 1))"}, duckw={"unnest": "unnest([-1, 0, 1])"})
+WITH o AS (SELECT {unnest} AS d), m AS (SELECT max(y) AS top FROM plane),
+k AS (SELECT y {idiv} 2 - p.d AS y2, x {idiv} 2 - q.d AS x2, v, (CASE WHEN y % 2 = 0 THEN 0.5 ELSE 1.0 END) * (CASE WHEN x % 2 = 0 THEN 0.5 ELSE 1.0 END) AS w FROM plane CROSS JOIN o p CROSS JOIN o q WHERE (p.d = 0 OR y % 2 = 0) AND (q.d = 0 OR x % 2 = 0))
+SELECT y2, x2, round(sum(v * w) / sum(w), 5) + 0 AS v FROM k CROSS JOIN m WHERE y2 >= 0 AND x2 >= 0 AND y2 < (top + 1) {idiv} 2 AND x2 < 32 GROUP BY y2, x2""".strip().replace("\n", " "), spark={"unnest": "explode(array(0, 1))"}, duckw={"unnest": "unnest([0, 1])"})
 add("agg10_axis_downsample", "SELECT y, x {idiv} 2 AS x2, round(avg(v), 6) + 0 AS v FROM plane GROUP BY y, x {idiv} 2")
-add("agg11_mipmap_pyramid", "WITH l AS (SELECT {levels} AS l) SELECT l, y {idiv} cast(pow(2, l) as bigint) AS yl, x {idiv} cast(pow(2, l) as bigint) AS xl, round(avg(v), 5) + 0 AS v FROM plane CROSS JOIN l WHERE y < 256 GROUP BY 1, 2, 3", spark={"levels": "explode(sequence(0, 6))"}, duckw={"levels": "unnest(range(7))"})
-add("agg12_ripmap_pyramid", "WITH l AS (SELECT {levels} AS l) SELECT i.l AS ly, j.l AS lx, y {idiv} cast(pow(2, i.l) as bigint) AS yl, x {idiv} cast(pow(2, j.l) as bigint) AS xl, round(avg(v), 5) + 0 AS v FROM plane CROSS JOIN l i CROSS JOIN l j WHERE y < 64 GROUP BY 1, 2, 3, 4", spark={"levels": "explode(sequence(0, 3))"}, duckw={"levels": "unnest(range(4))"})
+add("agg11_mipmap_pyramid", "WITH l AS (SELECT {levels} AS l) SELECT l, y {idiv} cast(pow(2, l) as bigint) AS yl, x {idiv} cast(pow(2, l) as bigint) AS xl, round(avg(v), 5) + 0 AS v FROM plane CROSS JOIN l GROUP BY 1, 2, 3", spark={"levels": "explode(sequence(0, 6))"}, duckw={"levels": "unnest(range(7))"})
+add("agg12_ripmap_pyramid", "WITH l AS (SELECT {levels} AS l) SELECT i.l AS ly, j.l AS lx, y {idiv} cast(pow(2, i.l) as bigint) AS yl, x {idiv} cast(pow(2, j.l) as bigint) AS xl, round(avg(v), 5) + 0 AS v FROM plane CROSS JOIN l i CROSS JOIN l j GROUP BY 1, 2, 3, 4", spark={"levels": "explode(sequence(0, 3))"}, duckw={"levels": "unnest(range(4))"})
 add("agg14_chroma_average", f"SELECT y {{idiv}} 2 AS y2, x {{idiv}} 2 AS x2, round(avg(r - {fn.luma('r', 'g', 'b')}), 6) + 0 AS ry, round(avg(b - {fn.luma('r', 'g', 'b')}), 6) + 0 AS by_ FROM rgb GROUP BY y {{idiv}} 2, x {{idiv}} 2")
 add("agg20_bounding_union", "SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS n FROM windows")
 add("agg22_level_counts", "SELECT o_custkey, cast(floor(log2(greatest(maxx - minx + 1, maxy - miny + 1))) as int) + 1 AS levels, cast(ceil((maxx - minx + 1) / 16.0) as bigint) * cast(ceil((maxy - miny + 1) / 16.0) as bigint) AS tiles FROM windows")
@@ -119,7 +119,7 @@ add("jn5_chroma_upsample", "WITH c AS (SELECT y {idiv} 2 AS y2, x {idiv} 2 AS x2
 add("jn3_union_window", "WITH u AS (SELECT min(minx) AS ox, min(miny) AS oy FROM windows) SELECT o_custkey, minx - ox AS dx, miny - oy AS dy, maxx - minx + 1 AS width, maxy - miny + 1 AS height FROM windows CROSS JOIN u")
 add("jn7_id_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, v1, v2, l_quantity, l_extendedprice FROM lineitem LEFT JOIN manifest ON id = l_partkey")
 add("jn6_hemisphere_blur", "WITH s AS (SELECT vec_id, dx, dy, dz, sqrt(dx * dx + dy * dy + dz * dz) AS n FROM dirs), q AS (SELECT a.vec_id, (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (a.n * b.n) AS c, b.n AS v FROM s a JOIN s b ON a.dx * b.dx + a.dy * b.dy + a.dz * b.dz > 0) SELECT vec_id, count(*) AS n, round(sum(c * v) / sum(c), 6) + 0 AS v FROM q GROUP BY vec_id")
-add("set1_combine_parts", "WITH p AS (SELECT o_orderstatus AS name, o_orderkey AS k FROM orders WHERE o_orderkey < 200), n AS (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS d FROM p) SELECT k, CASE WHEN d = 0 THEN name ELSE concat(name, '_', cast(d as {str})) END AS name FROM n", spark={"str": "string"}, duckw={"str": "varchar"})
+add("set1_combine_parts", "WITH p AS (SELECT o_orderstatus AS name, o_orderkey AS k FROM orders), n AS (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS d FROM p) SELECT k, CASE WHEN d = 0 THEN name ELSE concat(name, '_', cast(d as {str})) END AS name FROM n", spark={"str": "string"}, duckw={"str": "varchar"})
 add("set2_separate_parts", "SELECT src AS part, count(*) AS n, min(y) AS miny, max(y) AS maxy FROM deep GROUP BY src")
 add("set3_convert_layout", "SELECT y {idiv} 16 AS tile_y, x {idiv} 16 AS tile_x, y % 16 AS ry, x % 16 AS rx, v FROM plane")
 add("set4_channel_difference", "WITH a AS (SELECT name FROM channels WHERE name LIKE '%left%' OR name LIKE '%.R'), b AS (SELECT name FROM channels WHERE name LIKE '%.R' OR name LIKE '%right%') SELECT 'a' AS only_in, name FROM (SELECT name FROM a EXCEPT SELECT name FROM b) p UNION ALL SELECT 'b' AS only_in, name FROM (SELECT name FROM b EXCEPT SELECT name FROM a) q")

@@ -14,7 +14,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "manifest": (("part",), "SELECT p_partkey AS id, p_name AS v1, p_brand AS v2 FROM part"),
     "attributes": (("events",), "SELECT event_id, 'k' AS key, {prop} AS value FROM events"),
     "windows": (("orders",), "SELECT o_custkey, min(o_orderkey % 640) AS minx, min(o_orderkey {idiv} 640) AS miny, max(o_orderkey % 640) AS maxx, max(o_orderkey {idiv} 640) AS maxy FROM orders GROUP BY o_custkey"),
-    "bytes": (("documents",), "SELECT doc_id, k AS pos, {code} % 256 AS b FROM documents CROSS JOIN (SELECT {range256}) ks WHERE k < length(text)"),
+    "bytes": (("documents",), "SELECT doc_id, pos, {code} % 256 AS b FROM {chars}"),
 }
-SPARK = {"idiv": "div", "base": "0", "range21": "explode(sequence(0, 20)) AS k", "range64": "explode(sequence(0, 63)) AS k", "range256": "explode(sequence(0, 255)) AS k", "rgba": "explode(array('R', 'G', 'B', 'A')) AS c", "hour": "hour(ts)", "minute": "minute(ts)", "second": "second(ts)", "micros": "(unix_micros(cast(ts as timestamp)) % 1000000)", "prop": "get_json_object(props, '$.k')", "code": "ascii(substr(text, k + 1, 1))"}
-DUCK = {"idiv": "//", "base": "1", "range21": "unnest(range(21)) AS k", "range64": "unnest(range(64)) AS k", "range256": "unnest(range(256)) AS k", "rgba": "unnest(['R', 'G', 'B', 'A']) AS c", "hour": "hour(ts)", "minute": "minute(ts)", "second": "second(ts)", "micros": "(epoch_us(ts) % 1000000)", "prop": "json_extract_string(props, '$.k')", "code": "unicode(substr(text, k + 1, 1))"}
+SPARK = {"idiv": "div", "base": "0", "range21": "explode(sequence(0, 20)) AS k", "range64": "explode(sequence(0, 63)) AS k", "rgba": "explode(array('R', 'G', 'B', 'A')) AS c", "hour": "hour(ts)", "minute": "minute(ts)", "second": "second(ts)", "micros": "(unix_micros(cast(ts as timestamp)) % 1000000)", "prop": "get_json_object(props, '$.k')", "code": "ascii(c)", "chars": "documents LATERAL VIEW posexplode(split(text, '')) t AS pos, c"}
+DUCK = {"idiv": "//", "base": "1", "range21": "unnest(range(21)) AS k", "range64": "unnest(range(64)) AS k", "rgba": "unnest(['R', 'G', 'B', 'A']) AS c", "hour": "hour(ts)", "minute": "minute(ts)", "second": "second(ts)", "micros": "(epoch_us(ts) % 1000000)", "prop": "json_extract_string(props, '$.k')", "code": "unicode(c)", "chars": "(SELECT doc_id, unnest(range(len(cs))) AS pos, unnest(cs) AS c FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS cs FROM documents) q) t"}
