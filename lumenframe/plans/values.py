@@ -133,7 +133,7 @@ add("flt9_aces_validity", f"SELECT name, kind, name IN ('NONE', 'PIZ', 'B44A') A
 scalar("src4_version_flags", "(SELECT o_orderkey, o_orderkey * 512 + 2 AS v FROM orders) q", "o_orderkey", version="v % 256", tiled=f"{bit('v', 9)} = 1", long_names=f"{bit('v', 10)} = 1", deep=f"{bit('v', 11)} = 1", multipart=f"{bit('v', 12)} = 1")
 add("srt4_attribute_sort", "SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS place FROM nation")
 scalar("srt6_line_order", "plane p CROSS JOIN (SELECT max(y) AS top FROM plane) m", "y, x", increasing="y", decreasing="top - y")
-_H2 = lambda i: f"((instr('0123456789ABCDEF', substr(hx, cast(2 * ({i}) + 1 as int), 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hx, cast(2 * ({i}) + 2 as int), 1)) - 1)"
+_H2 = lambda i: f"((cast(instr('0123456789ABCDEF', substr(hx, cast(2 * ({i}) + 1 as int), 1)) as bigint) - 1) * 16 + instr('0123456789ABCDEF', substr(hx, cast(2 * ({i}) + 2 as int), 1)) - 1)"
 _MUL = lambda a, b: f"((({a}) % 65536) * {b} + (((({a}) {{idiv}} 65536) * {b}) % 65536) * 65536) % 4294967296"
 _ROT = lambda a, n: f"((({a}) % {1 << (32 - n)}) * {1 << n} + ({a}) {{idiv}} {1 << (32 - n)})"
 
