@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenframe.plans import catalogue, values  # noqa: F401
+from lumenframe.plans import catalogue, files, values  # noqa: F401
 
 
 def rows(frame):
