@@ -1,4 +1,4 @@
-"""Chunk codecs over numpy: none, run coding, zlib by line or block, and 24-bit floats.
+"""Chunk codecs over numpy: none, run coding, zlib by line or block, 24-bit floats, and blocks of 4 x 4 halves.
 
 Two byte orders. In `native` files bytes are delta coded first and split into even and odd ones after (run coding takes
 no split), a run is a negative count, and a deep chunk's counts run on over its lines, its samples by pixel. In
@@ -15,8 +15,8 @@ import numpy as np
 
 UINT, HALF, FLOAT = 0, 1, 2
 DTYPES = {UINT: np.dtype("<u4"), HALF: np.dtype("<f2"), FLOAT: np.dtype("<f4")}
-NONE, RLE, ZIPS, ZIP, PXR24 = 0, 1, 2, 3, 5
-SUPPORTED = (NONE, RLE, ZIPS, ZIP, PXR24)
+NONE, RLE, ZIPS, ZIP, PXR24, B44, B44A = 0, 1, 2, 3, 5, 6, 7
+SUPPORTED = (NONE, RLE, ZIPS, ZIP, PXR24, B44, B44A)
 
 
 class CorruptChunk(ValueError):
@@ -137,6 +137,115 @@ def _pxr24_decode(packed: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+# differences kept of a 4 x 4 block: down its first column, then along each row
+_PAIRS = [(0, 4), (4, 8), (8, 12), *((r + k, r + k + 1) for k in range(3) for r in (0, 4, 8, 12))]
+_BIAS = 0x20
+
+
+def _ordered(bits: np.ndarray) -> np.ndarray:
+    """Half bits as integers in the order of their values; infinities and NaN count as zero."""
+    special = (bits & 0x7C00) == 0x7C00
+    return np.where(special, 0x8000, np.where(bits & 0x8000, 0xFFFF - bits, bits | 0x8000)).astype(np.int64)
+
+
+def block_encode(blocks: np.ndarray, flat: bool) -> list[bytes]:
+    """Blocks (n, 16) of half bits as 14 bytes each, or 3 where flat blocks are told apart.
+
+    15 six-bit differences at the least shift at which all of them fit, below the block's greatest value.
+    """
+    t = _ordered(blocks)
+    top = t.max(axis=1, keepdims=True)
+    first, second = (np.array(p) for p in zip(*_PAIRS, strict=True))
+    shift = np.full(len(t), -1)
+    steps, lead = np.zeros((len(t), 15), np.int64), np.zeros(len(t), np.int64)
+    for k in range(16):
+        # halves round to even, as a shift of the doubled distance
+        twice = (top - t) << 1
+        d = (twice + (1 << k) - 1 + ((twice >> (k + 1)) & 1)) >> (k + 1)
+        r = d[:, first] - d[:, second] + _BIAS
+        new = (shift < 0) & (r.min(axis=1) >= 0) & (r.max(axis=1) <= 63)
+        shift[new], steps[new], lead[new] = k, r[new], (top[:, 0] - (d[:, 0] << k))[new]
+        if (shift >= 0).all():
+            break
+    fields = np.concatenate([shift[:, None], steps], axis=1)
+    bits = ((fields[:, :, None] >> np.arange(5, -1, -1)) & 1).astype(np.uint8).reshape(len(t), 96)
+    body = np.packbits(bits, axis=1)
+    out = []
+    for i in range(len(t)):
+        if flat and (steps[i] == _BIAS).all():
+            out.append(bytes((int(t[i, 0]) >> 8, int(t[i, 0]) & 255, 0xFC)))
+        else:
+            out.append(bytes((int(lead[i]) >> 8 & 255, int(lead[i]) & 255)) + body[i].tobytes())
+    return out
+
+
+def block_decode(packed: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n blocks from a place: (n, 16) half bits, and the place after them."""
+    places, flat = [], []
+    for _ in range(n):
+        if at + 3 > len(packed):
+            raise CorruptChunk("blocks end early")
+        flat.append(packed[at + 2] >= 13 << 2)
+        places.append(at)
+        at += 3 if flat[-1] else 14
+    if at > len(packed):
+        raise CorruptChunk("blocks end early")
+    raw = np.frombuffer(packed + bytes(14), np.uint8)
+    rows = raw[np.array(places, np.int64)[:, None] + np.arange(14)] if n else np.zeros((0, 14), np.uint8)
+    lead = rows[:, 0].astype(np.int64) << 8 | rows[:, 1]
+    fields = np.unpackbits(rows[:, 2:], axis=1).reshape(n, 16, 6).astype(np.int64) @ (1 << np.arange(5, -1, -1))
+    step = (fields[:, 1:] - _BIAS) << np.minimum(fields[:, :1], 15)
+    t = np.zeros((n, 16), np.int64)
+    t[:, 0] = lead
+    for k, (a, b) in enumerate(_PAIRS):
+        t[:, b] = t[:, a] + step[:, k]
+    t = np.where(np.array(flat)[:, None], lead[:, None], t) & 0xFFFF if n else t
+    return np.where(t & 0x8000, t & 0x7FFF, 0xFFFF - t).astype(np.uint16), at
+
+
+def _planes(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, np.ndarray]]:
+    """Each channel's rows as a plane; lines hold the channels in one order."""
+    height = _height(runs)
+    per = len(runs) // height
+    rows = list(_rows(data, runs))
+    return [(rows[c][0], np.stack([rows[y * per + c][1] for y in range(height)])) for c in range(per)]
+
+
+def _height(runs: list[tuple[int, int]]) -> int:
+    """Lines of a chunk, if all hold the same channels: the greatest number of equal parts."""
+    n = len(runs)
+    return next(n // p for p in range(1, n + 1) if n % p == 0 and runs == runs[:p] * (n // p))
+
+
+def _b44_encode(data: bytes, runs: list[tuple[int, int]], flat: bool) -> bytes:
+    out = []
+    for kind, plane in _planes(data, runs):
+        if kind != HALF:
+            out.append(plane.tobytes())
+            continue
+        h, w = plane.shape
+        full = np.pad(plane.view(np.uint16), ((0, -h % 4), (0, -w % 4)), mode="edge")
+        out += block_encode(full.reshape(full.shape[0] // 4, 4, -1, 4).swapaxes(1, 2).reshape(-1, 16), flat)
+    return b"".join(out)
+
+
+def _b44_decode(packed: bytes, runs: list[tuple[int, int]]) -> bytes:
+    height = _height(runs)
+    per, at, planes = len(runs) // height, 0, []
+    for kind, w in runs[:per]:
+        if kind != HALF:
+            size = DTYPES[kind].itemsize * w * height
+            if at + size > len(packed):
+                raise CorruptChunk("a plane ends early")
+            planes.append(np.frombuffer(packed, DTYPES[kind], w * height, at).reshape(height, w))
+            at += size
+            continue
+        down, across = -(-height // 4), -(-w // 4)
+        blocks, at = block_decode(packed, at, down * across)
+        planes.append(blocks.reshape(down, across, 4, 4).swapaxes(1, 2).reshape(down * 4, across * 4)[:height, :w])
+    return b"".join(p[y].tobytes() for y in range(height) for p in planes)
+
+
 def encode(data: bytes, codec: int, runs: list[tuple[int, int]] | None = None, layout: str = "native", level: int = 6) -> bytes:
     """Packs a chunk. runs: (pixel type, values) of each line and channel, which only 24-bit floats need."""
     if codec not in SUPPORTED:
@@ -146,6 +255,8 @@ def encode(data: bytes, codec: int, runs: list[tuple[int, int]] | None = None, l
         return data
     if codec == PXR24 and runs is not None:
         packed = _pxr24_encode(data, runs, level)
+    elif codec in (B44, B44A):
+        packed = _b44_encode(data, runs, codec == B44A)
     elif codec == RLE:
         packed = run_encode(delta_encode(raw) if layout == "native" else delta_encode(split(raw), 128), layout)
     else:
@@ -164,7 +275,9 @@ def decode(packed: bytes, size: int, codec: int, runs: list[tuple[int, int]] | N
         data = (delta_decode(raw) if layout == "native" else unsplit(delta_decode(raw, 128))).tobytes()
     else:
         try:
-            if codec == PXR24 and runs is not None:
+            if codec in (B44, B44A):
+                data = _b44_decode(packed, runs)
+            elif codec == PXR24 and runs is not None:
                 data = _pxr24_decode(packed, runs)
             else:
                 raw = np.frombuffer(zlib.decompress(packed), np.uint8)

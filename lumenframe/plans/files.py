@@ -5,10 +5,11 @@ The SQL counterpart states what a round trip must give, so codecs, containers an
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import codecs
+from lumenframe.operators import codecs, manifests
 from lumenframe.plans import catalogue
 from lumenframe.sources import pixfile, pixsink
 from lumenframe.sources.fixtures import DUCK, SPARK
@@ -129,3 +130,38 @@ _SAMPLES = "SELECT concat('deep', cast(src as varchar), '-', cast(y {idiv} 64 as
 _add("snk6_deep_scanline_file", _deep(codecs.ZIPS), _SAMPLES)
 _add("snk7_deep_tile_file", _deep(codecs.RLE, (32, 16)), _SAMPLES)
 _add("src7_deep_interchange_file", _deep(codecs.ZIP, layout="interchange"), _SAMPLES)
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs each 256 ids as a manifest, reads them back."""
+    ship(spark)
+    rows = _view(spark, sf_dir, "SELECT id, v1, v2, id {idiv} 256 AS file FROM manifest")
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        entries = {int(i): [a, b] for i, a, b in zip(group["id"], group["v1"], group["v2"], strict=True)}
+        return pd.DataFrame({"file": [group["file"].iloc[0]], "packed": [manifests.encode([manifests.Group(["id"], ["name", "brand"], entries)])]})
+
+    def unpack(batches):
+        for batch in batches:
+            for file, packed in zip(batch["file"], batch["packed"], strict=True):
+                yield pd.DataFrame([(file, i, *v) for g in manifests.decode(packed) for i, v in g.entries.items()], columns=["file", "id", "v1", "v2"])
+
+    packed = rows.groupBy("file").applyInPandas(pack, "file bigint, packed binary")
+    return packed.mapInPandas(unpack, "file bigint, id bigint, v1 string, v2 string")
+
+
+_add("sd11_manifest_round_trip", _manifests, "SELECT id {idiv} 256 AS file, id, v1, v2 FROM manifest")
+
+
+def _hash128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            words = [manifests.murmur3_128(n.encode()) for n in batch["name"]]
+            yield pd.DataFrame({"name": batch["name"], "high": [f"{a:016x}" for a, _ in words], "low": [f"{b:016x}" for _, b in words]})
+
+    return _view(spark, sf_dir, "SELECT name FROM names").mapInPandas(run, "name string, high string, low string")
+
+
+catalogue.QUERIES["sd8_murmur3_128"] = _hash128  # no SQL counterpart: 64-bit products; tested against published values

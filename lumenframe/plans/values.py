@@ -99,9 +99,32 @@ _PX, _PY = f"((({_LON}) / (-2 * {_PI}) + 0.5) * 63)", f"((({_LAT}) / (-1 * {_PI}
 scalar("sg3_latlong_pixel", "dirs", "vec_id", px=r6(_PX), py=r6(_PY), ix=f"cast(floor({_PX} + 0.5) as bigint)", iy=f"cast(floor({_PY} + 0.5) as bigint)", lat_back=r6(f"({_PY} / 31 - 0.5) * (-1 * {_PI})"), lon_back=r6(f"({_PX} / 63 - 0.5) * (-2 * {_PI})"))
 _F = fn.cube_face("dx", "dy", "dz")
 add("sg6_cube_position", f"WITH f AS (SELECT vec_id, {_F} AS face, dx, dy, dz, greatest(abs(dx), abs(dy), abs(dz)) AS n FROM dirs), p AS (SELECT vec_id, face, (CASE WHEN face < 2 THEN dy ELSE dx END / n + 1) / 2 * 63 AS u, (CASE WHEN face < 4 THEN dz ELSE dy END / n + 1) / 2 * 63 AS v FROM f WHERE n > 0) SELECT vec_id, face, {r6('CASE face WHEN 0 THEN v WHEN 1 THEN 63 - v WHEN 4 THEN 63 - u ELSE u END')} AS px, {r6('face * 64 + CASE WHEN face < 2 THEN 63 - u WHEN face = 3 THEN v ELSE 63 - v END')} AS py, {r6('CASE face WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE u / 63 * 2 - 1 END')} AS dir_x, {r6('CASE WHEN face = 2 THEN 1 WHEN face = 3 THEN -1 WHEN face < 2 THEN u / 63 * 2 - 1 ELSE v / 63 * 2 - 1 END')} AS dir_y FROM p")
-# four weighted neighbours each, looked up by place; the image is the plane's first 32 rows, whatever the number of directions
-_NEAR = f"p AS (SELECT vec_id, {_PX} AS px, {_PY} AS py FROM dirs), n AS (SELECT vec_id, least(63, cast(floor(px) as bigint) + i) AS x, least(31, cast(floor(py) as bigint) + j) AS y, CASE WHEN i = 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END * CASE WHEN j = 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END AS w FROM p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j))"
-add("jn4_direction_lookup", f"WITH {_NEAR} SELECT vec_id, round(sum(w * v), 6) + 0 AS v FROM n JOIN (SELECT y, x, v FROM plane WHERE y < 32) m ON m.y = n.y AND m.x = n.x GROUP BY vec_id")
+# four weighted neighbours each, looked up by place; the image is the whole plane, 64 wide
+_WHOLE_Y = f"((({_LAT}) / (-1 * {_PI}) + 0.5) * top)"
+_NEAR = f"m AS (SELECT max(y) AS top FROM plane), p AS (SELECT vec_id, top, {_PX} AS px, {_WHOLE_Y} AS py FROM dirs CROSS JOIN m), n AS (SELECT vec_id, least(63, cast(floor(px) as bigint) + i) AS x, least(top, cast(floor(py) as bigint) + j) AS y, CASE WHEN i = 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END * CASE WHEN j = 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END AS w FROM p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j))"
+add("jn4_direction_lookup", f"WITH {_NEAR} SELECT vec_id, round(sum(w * v), 6) + 0 AS v FROM n JOIN (SELECT y AS my, x AS mx, v FROM plane) i ON my = y AND mx = x GROUP BY vec_id")
+# tent-weighted lookups around a direction; both offsets turn about the same axis, whichever way the direction points
+_R, _W3 = fn.lit(0.1), "(VALUES (-1), (0), (1))"
+
+
+def filtered(name: str, source: str, key: str) -> None:
+    """source: (key, dx, dy, dz); three by three directions within a radius of 0.1."""
+    c = lambda a, b: f"(d{a} * e{b} - d{b} * e{a})"
+    lat, lon = fn.latitude("dx", "dy", "dz"), fn.longitude("dx", "dy", "dz")
+    px, py = f"((({lon}) / (-2 * {_PI}) + 0.5) * 63)", f"((({lat}) / (-1 * {_PI}) + 0.5) * top)"
+    add(name, f"""
+WITH s AS ({source}), z AS (SELECT max(y) AS top FROM plane), u AS (SELECT {key}, dx / n AS dx, dy / n AS dy, dz / n AS dz FROM (SELECT {key}, dx, dy, dz, sqrt(dx * dx + dy * dy + dz * dz) AS n FROM s) q WHERE n > 0),
+e AS (SELECT {key}, dx, dy, dz, cast(0 as double) AS ex, CASE WHEN m > 0 THEN f * dz * {_R} / m ELSE 0 END AS ey, CASE WHEN m > 0 THEN -1 * f * dy * {_R} / m ELSE 0 END AS ez FROM (SELECT {key}, dx, dy, dz, CASE WHEN abs(dx) > 0.707 THEN -1 ELSE 1 END AS f, sqrt(dy * dy + dz * dz) AS m FROM u) q),
+g AS (SELECT {key}, dx, dy, dz, ex, ey, ez, {c('y', 'z')} AS hx, {c('z', 'x')} AS hy, {c('x', 'y')} AS hz FROM e),
+h AS (SELECT {key}, dx, dy, dz, ex, ey, ez, CASE WHEN n > 0 THEN hx * {_R} / n ELSE hx END AS hx, CASE WHEN n > 0 THEN hy * {_R} / n ELSE hy END AS hy, CASE WHEN n > 0 THEN hz * {_R} / n ELSE hz END AS hz FROM (SELECT {key}, dx, dy, dz, ex, ey, ez, hx, hy, hz, sqrt(hx * hx + hy * hy + hz * hz) AS n FROM g) q),
+d AS (SELECT {key}, dx + i * ex / 2 + j * hx / 2 AS dx, dy + i * ey / 2 + j * hy / 2 AS dy, dz + i * ez / 2 + j * hz / 2 AS dz, (1 - abs(i) / cast(2 as double)) * (1 - abs(j) / cast(2 as double)) AS t FROM h CROSS JOIN {_W3} a(i) CROSS JOIN {_W3} b(j)),
+p AS (SELECT {key}, t, top, {px} AS px, {py} AS py FROM d CROSS JOIN z),
+n AS (SELECT {key}, t, least(63, cast(floor(px) as bigint) + i) AS x, least(top, cast(floor(py) as bigint) + j) AS y, t * CASE WHEN i = 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END * CASE WHEN j = 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END AS w FROM p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j))
+SELECT {key}, round(sum(w * v) / sum(w), 5) + 0 AS v FROM n JOIN (SELECT y AS my, x AS mx, v FROM plane) m ON my = n.y AND mx = n.x GROUP BY {key}""".strip().replace("\n", " "))
+
+
+filtered("agg16_filtered_lookup", "SELECT vec_id, dx, dy, dz FROM dirs", "vec_id")
+filtered("agg17_environment_conversion", f"SELECT k, sin(lon) * cos(lat) AS dx, sin(lat) AS dy, cos(lon) * cos(lat) AS dz FROM (SELECT j * 8 + i AS k, (i / cast(7 as double) - 0.5) * (-2 * {_PI}) AS lon, (j / cast(7 as double) - 0.5) * (-1 * {_PI}) AS lat FROM {_N} a(i) CROSS JOIN {_N} b(j)) q", "k")
 # --- timecodes, rates -------------------------------------------------------------------------------------------------
 _T = f"WITH t AS (SELECT event_id, hh, mm, ss, ff, cast({fn.bcd('hh')} * 16777216 + {fn.bcd('mm')} * 65536 + {fn.bcd('ss')} * 256 + {fn.bcd('ff')} as bigint) + (event_id % 2) * 64 + (event_id {{idiv}} 2 % 2) * 128 + (event_id {{idiv}} 4 % 2) * 32768 + (event_id {{idiv}} 8 % 2) * 8388608 + (event_id {{idiv}} 16 % 2) * 1073741824 + (event_id {{idiv}} 32 % 2) * 2147483648 AS t FROM timecode) "
 _CLEAR = lambda *bits: f"t - ({' + '.join(f'{bit("t", n)} * {1 << n}' for n in bits)})"

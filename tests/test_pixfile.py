@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumenframe.operators import codecs
+from lumenframe.operators import codecs, manifests
 from lumenframe.sources import pixfile, pixsink
 
 LAYOUTS = ["native", "interchange"]
@@ -58,7 +58,7 @@ KINDS = {"H": codecs.HALF, "F": codecs.FLOAT, "U": codecs.UINT}
 
 @pytest.mark.parametrize("layout", LAYOUTS)
 @pytest.mark.parametrize("tile", [None, (8, 16)])
-@pytest.mark.parametrize("codec", codecs.SUPPORTED)
+@pytest.mark.parametrize("codec", [c for c in codecs.SUPPORTED if c not in (codecs.B44, codecs.B44A)])
 def test_pixels_round_trip(spark, tmp_path, codec, tile, layout):
     frame, rows = images(spark)
     form = pixsink.Layout(KINDS, codec, tile, layout)
@@ -108,3 +108,40 @@ def test_parts_attributes_and_chunks(spark):
     assert [(r["type"], bytes(r["value"])) for r in odd] == [("newtype", b"\x01\x02")] * 2
     assert pixfile.chunks(whole).count() == 6
     assert pixfile.summaries(whole).collect()[0]["channels"] == "F,H,U"
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_blocks(flat):
+    rng = np.random.default_rng(1)
+    smooth = (1 + np.arange(16) / 64 + rng.normal(0, 0.001, (200, 16))).astype(np.float16)
+    same = np.repeat(rng.normal(size=(50, 1)), 16, axis=1).astype(np.float16)
+    wild = rng.normal(0, 100, (50, 16)).astype(np.float16)
+    for values, error in ((smooth, 0.02), (same, 0), (wild, None)):
+        packed = codecs.block_encode(values.view(np.uint16), flat)
+        assert {len(p) for p in packed} == ({3} if flat and values is same else {14})
+        bits, at = codecs.block_decode(b"".join(packed), 0, len(values))
+        back = bits.view(np.float16).astype(float)
+        assert at == sum(map(len, packed)) and np.isfinite(back).all()
+        if error is not None:
+            assert np.abs(back - values.astype(float)).max() <= error
+    special = np.full((1, 16), np.inf, np.float16)
+    assert codecs.block_decode(b"".join(codecs.block_encode(special.view(np.uint16), flat)), 0, 1)[0].view(np.float16).max() == 0
+
+
+def test_b44_keeps_other_channels(spark):
+    frame, rows = images(spark, n=1)
+    for codec in (codecs.B44, codecs.B44A):
+        form = pixsink.Layout(KINDS, codec)
+        whole = pixsink.assemble(pixsink.pack_pixels(frame, form), form).withColumnRenamed("image", "path")
+        got = pixfile.pixels(whole, ["H", "F", "U"]).toPandas().sort_values(["y", "x"])
+        want = pd.DataFrame(rows, columns=["image", "part", "y", "x", "H", "F", "U"]).sort_values(["y", "x"])
+        assert np.array_equal(got[["F", "U"]].to_numpy(), want[["F", "U"]].to_numpy()) and np.corrcoef(got["H"], want["H"])[0, 1] > 0.9
+
+
+def test_manifests():
+    groups = [manifests.Group(["id"], ["name"], {7: ["a"], 2: ["é", ""], 2**64 - 1: []}, 1, "MurmurHash3_32", "id"), manifests.Group([], [])]
+    assert manifests.decode(manifests.encode(groups)) == groups
+    assert manifests.murmur3_128(b"hello") == (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19) and manifests.murmur3_128(b"") == (0, 0)
+    for bad in (b"", b"x", manifests.encode(groups)[:-4]):
+        with pytest.raises(ValueError):
+            manifests.decode(bad)
