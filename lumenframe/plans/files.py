@@ -165,3 +165,17 @@ def _hash128(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 catalogue.QUERIES["sd8_murmur3_128"] = _hash128  # no SQL counterpart: 64-bit products; tested against published values
+
+
+def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file whole, with another magic number, cut within its last chunk, and cut to four bytes."""
+    form = pixsink.Layout({"v": codecs.FLOAT}, codecs.NONE)
+    whole = plane_files(spark, sf_dir, form)
+    kinds = {"whole": "content", "magic": "concat(X'00', substring(content, 2))", "cut": "substring(content, 1, length(content) - 9)", "short": "substring(content, 1, 4)"}
+    made = whole.select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(e).alias("content")) for k, e in kinds.items()])).alias("f"))
+    found = pixfile.validate(made.select(F.concat("path", F.lit("/"), "f.kind").alias("path"), "f.content"))
+    return found.select(F.col("path").alias("image"), "check", "ok")
+
+
+_OK = "CASE kind WHEN 'whole' THEN true WHEN 'magic' THEN CASE k WHEN 0 THEN true WHEN 1 THEN false END WHEN 'cut' THEN k < 3 WHEN 'short' THEN CASE k WHEN 0 THEN false END END"
+_add("flt10_file_validation", _validation, f"SELECT concat(image, '/', kind) AS image, \"check\", {_OK} AS ok FROM (SELECT DISTINCT {_IMAGE} AS image FROM plane) i CROSS JOIN (VALUES ('whole'), ('magic'), ('cut'), ('short')) v(kind) CROSS JOIN (VALUES (0, 'size'), (1, 'header'), (2, 'offsets'), (3, 'chunks')) c(k, \"check\")")

@@ -349,3 +349,34 @@ def summaries(frame: DataFrame) -> DataFrame:
     """One row a file: parts, channels, chunks, codecs and size."""
     names = channels(frame).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("channels"))
     return parts(frame).groupBy("path").agg(F.count("*").alias("parts"), F.sum("chunks").alias("chunks"), F.max("bytes").alias("bytes")).join(names, "path")
+
+
+CHECKS = ("size", "header", "offsets", "chunks")
+
+
+def validate(frame: DataFrame) -> DataFrame:
+    """(path, check, ok, note) for each of CHECKS in order; checks after one that fails are null.
+
+    size: 8 bytes at least; header: magic, version, required attributes, windows and channels; offsets: each leads to a
+    chunk of its part; chunks: each decodes to its size.
+    """
+
+    def rows(path, content):
+        result = {"size": (len(content) >= 8, f"{len(content)} bytes")}
+        if len(content) >= 8:
+            try:
+                version, found = parse_file(content)
+                result["header"] = (True, f"{len(found)} parts")
+                step = "offsets"
+                listed = [(p, list(part_chunks(content, k, p, version))) for k, p in enumerate(found)]
+                result[step] = (True, f"{sum(len(c) for _, c in listed)} chunks")
+                step = "chunks"
+                for p, cs in listed:
+                    for c in cs:
+                        chunk_samples(content, p, c, []) if p.kind.startswith("deep") else chunk_pixels(content, p, c, [])
+                result[step] = (True, "")
+            except (ValueError, KeyError, struct.error, NotImplementedError) as error:
+                result[step if "header" in result else "header"] = (False, str(error))
+        yield [[path] * len(CHECKS), list(CHECKS), [result.get(c, (None, None))[0] for c in CHECKS], [result.get(c, (None, None))[1] for c in CHECKS]]
+
+    return _mapped(frame, "path string, check string, ok boolean, note string", rows)
