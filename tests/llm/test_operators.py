@@ -144,6 +144,36 @@ def test_line_dedup_against_all_pairs(docs, texts, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def line_sets(x):
+    return {x} if len(x) < 5 else {x[i : i + 5] for i in range(len(x) - 4)}
+
+
+def alike(x, y):
+    x, y = line_sets(x), line_sets(y)
+    return 100 * len(x & y) >= 80 * len(x | y)
+
+
+def pair_frame(spark, pairs):
+    return spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "doc_id long, text string").repartition(8)
+
+
+def test_line_dedup_of_few_words(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 12)))
+    pairs = [("Subscribe to newsletter!", "Subscribe to newsletter."), ("-" * 12, "-" * 90)]
+    for n in (2, 3, 4, 5, 6, 8, 12, 20):
+        for _ in range(150):
+            x = " ".join(word() for _ in range(n))
+            at = rng.choice([len(x) - 1, rng.randrange(len(x))])
+            y = x[:at] + "#" + x[at + 1 :]
+            pairs += [(x, y)] * alike(x, y)
+    gone = {r["doc_id"] for r in line_dedup.deduplicate(pair_frame(spark, pairs)).where("n_removed = 1").collect()}
+    assert all(d % 2 for d in gone) and {1, 3} <= gone
+    # of up to 60 shingles none may be missed
+    missed = [p for i, p in enumerate(pairs) if 2 * i + 1 not in gone]
+    assert not [p for p in missed if len(p[0]) <= 64] and len(missed) <= 0.002 * len(pairs)
+
+
 def test_mixing(docs, texts, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(texts) and got == mixing.mix(docs.repartition(3)).collect()
