@@ -174,6 +174,38 @@ def test_line_dedup_of_few_words(spark):
     assert not [p for p in missed if len(p[0]) <= 64] and len(missed) <= 0.002 * len(pairs)
 
 
+def test_line_dedup_in_large_buckets(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    pairs = []
+    for fixed, free in ((14, 2), (5, 1)):
+        template = [word() for _ in range(fixed)]
+        for _ in range(100):
+            words, own = list(template), [word() for _ in range(free)]
+            for w in own:
+                words.insert(rng.randrange(len(words) + 1), w)
+            x = " ".join(words)
+            pairs += [(x, x.replace(own[0], own[0] + "s"))]
+    pairs = [p for p in pairs if alike(*p)]
+    rng.shuffle(pairs)
+    every = [x for p in pairs for x in p]
+    sets, group = [line_sets(x) for x in every], list(range(len(every)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            k = len(x & sets[j])
+            if 100 * k >= 80 * (len(x) + len(sets[j]) - k):
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicate(pair_frame(spark, pairs)).collect()}
+    assert len(pairs) > 100 and got == {i: int(find(i) != i) for i in range(len(every))}
+
+
 def test_mixing(docs, texts, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(texts) and got == mixing.mix(docs.repartition(3)).collect()
