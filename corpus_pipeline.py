@@ -38,11 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes of a document, sorted by training position. A last copy that is taken in part stands whole."""
-    plan = mixing.mix(docs).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"), "position")
-    copies = plan.select("doc_id", "position", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).dropDuplicates(["doc_id", "copy"])
-    drawn = docs.join(copies.hint("merge"), "doc_id")
-    return drawn.orderBy(F.col("copy") - 1 + F.col("position"), "doc_id").select(docs.columns)
+    """A row for each copy that the mix takes of a document, sorted by training position, each copy at its own. A last copy that is taken in part stands whole.
+
+    Rows carry themselves through the mix, so those without an id and those that repeat one have their own plans.
+    """
+    plan = mixing.copies(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row")), ("row",))
+    return plan.select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,12 +62,30 @@ def schedule_inverse(ord_: Column, part: Column) -> Column:
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), **how: object) -> DataFrame:
     """doc_id, size, source_size, target, taken, position of every document, range-sorted by position; carry: columns kept besides.
 
-    position is that of the first copy; copy c of a document (from 0) has taken min(size, taken - c * size) words.
+    position is that of the first copy; copy c of a document (from 0) has taken min(size, taken - c * size) words. copies()
+    has them all.
     """
+    return _placed(docs, carry, **how).select("doc_id", *carry, "size", "source_size", "target", "taken", _position(F.col("start")).alias("position")).orderBy("position", "doc_id")
+
+
+def copies(docs: DataFrame, carry: tuple[str, ...] = (), **how: object) -> DataFrame:
+    """As mix(), but a row for each copy (from 0) that is taken, at the time at which its own pass over the stream has come to it. A last copy taken in part is a row."""
+    each = _placed(docs, carry, **how).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    position = _position(F.col("start") + F.col("copy") * F.col("source_size"))
+    return each.select("doc_id", *carry, "size", "source_size", "target", "taken", "copy", position.alias("position")).orderBy("position", "copy", "doc_id")
+
+
+def _position(start: Column) -> Column:
+    part = F.when(F.col("target") > 0, F.least(F.lit(1.0), start / F.col("target"))).otherwise(F.lit(0.0))
+    return schedule_inverse(F.col("ord"), part)
+
+
+def _placed(docs: DataFrame, carry: tuple[str, ...], **how: object) -> DataFrame:
+    """doc_id, carry, size, source_size, ord, target, taken and start, the words of its source's stream before each document."""
     spark = docs.sparkSession
     buckets = max(64, 8 * partitions(spark))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = docs.select("doc_id", "source", *carry, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), order.alias("h"))
+    rows = docs.select("doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), order.alias("h"))
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets, 32))
     keyed = rows.withColumn("s", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     sums = keyed.groupBy("s", "source", "bucket").agg(F.sum("size").alias("words"))
@@ -80,9 +98,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), **how: object) -> DataFram
     passes = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round("target").cast("long") - passes * F.col("source_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))).cast("long")
-    part = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("start") / F.col("target"))).otherwise(F.lit(0.0))
-    out = placed.select("doc_id", *carry, "size", "source_size", "target", taken.alias("taken"), schedule_inverse(F.col("ord"), part).alias("position"))
-    return out.orderBy("position", "doc_id")
+    return placed.withColumn("taken", taken)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

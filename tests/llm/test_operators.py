@@ -206,6 +206,14 @@ def test_line_dedup_in_large_buckets(spark):
     assert len(pairs) > 100 and got == {i: int(find(i) != i) for i in range(len(every))}
 
 
+def test_line_dedup_trims_all_white_space(spark):
+    given = ["one line of text\r\n\r\nother words here\r", "\tone line of text\n\t\n\u3000\n\r\nother words here"]
+    frame = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.deduplicate(frame).collect()}
+    assert [got[i]["n_removed"] for i in (0, 1)] == [0, 2]
+    assert got[0]["text"] == given[0] and got[1]["text"] == "\t\n\u3000\n\r"
+
+
 def test_mixing(docs, texts, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(texts) and got == mixing.mix(docs.repartition(3)).collect()
@@ -229,6 +237,31 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_every_copy_has_its_own_time(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"d{i} " * (1 + i % 7), s) for s, n in (("a", 40), ("b", 200), ("c", 30)) for i in range(n)]
+    docs = spark.createDataFrame([(1000 * ord(s) + i, t, s) for i, t, s in rows], "doc_id long, text string, source string").repartition(4)
+    first = {r["doc_id"]: r for r in mixing.mix(docs, ("source",)).collect()}
+    got = mixing.copies(docs, ("source",)).collect()
+    assert [r["position"] for r in got] == sorted(r["position"] for r in got)
+    seen = {}
+    for r in got:
+        seen.setdefault(r["doc_id"], []).append((r["copy"], r["position"]))
+    assert {d: len(v) for d, v in seen.items()} == {d: -(-r["taken"] // r["size"]) for d, r in first.items() if r["taken"]}
+    order = {k: i for i, k in enumerate("abc")}
+    assert any(len(v) > 1 for v in seen.values())
+    for d, v in seen.items():
+        r = first[d]
+        kind = order[r["source"]] % 3
+        start = {0: lambda p: p, 1: lambda p: p * p, 2: lambda p: 1 - (1 - p) ** 2}[kind](r["position"]) * r["target"]
+        for c, position in v:
+            part = min(1.0, (start + c * r["source_size"]) / r["target"])
+            assert abs(position - {0: part, 1: part**0.5, 2: 1 - max(0.0, 1 - part) ** 0.5}[kind]) < 1e-6
+    staged = [r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, "").collect()]
+    assert staged == [r["doc_id"] for r in got]
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(1)
     rows = [(i, prose(rng, 40) + (" horrid" if i % 9 == 0 else ""), None) for i in range(900)] + [(900, None, None), (901, "", None)]
