@@ -6,8 +6,8 @@ Weber 2017), and an empty register borrows from the next filled one. Bands of fo
 keys. Documents with equal sets are one class from the start, so copies never meet as pairs. Classes that share a
 bucket are candidates: all pairs in buckets of at most ALL_PAIRS classes, links to the bucket's leaders in larger ones.
 Candidates whose collision-corrected estimate is out of reach of the threshold are dropped, the rest are confirmed on
-their full sets, and distributed union-find gives the components. A second round compares the components that larger
-buckets still hold apart.
+their full sets, and distributed union-find gives the components. A second round compares all pairs, in blocks, of
+members of larger buckets that are still in different components.
 
 At the threshold itself a pair misses all 32 bands with probability (1 - 0.75^4)^32 = 5e-6.
 
@@ -32,6 +32,8 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 10
 #: In buckets of at most so many classes every pair is a candidate.
 ALL_PAIRS = 16
+#: Members of a larger bucket that a task compares with as many others at a time.
+BLOCK = 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -152,6 +154,35 @@ def _in_reach(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def _in_blocks(large: DataFrame, joined: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of one bucket of large (key, id, n) in different components whose sketches leave the threshold in reach.
+
+    A bucket is dealt into blocks of about BLOCK members and every two blocks are a task's group, so none holds a whole bucket.
+    """
+    held = stored(large.select("key", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "held")
+    several = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("key", "blocks")
+    rows = held.join(several, "key").join(classes.select("id", "sketch"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "component", "sketch")
+
+    def run(group: pa.Table) -> pa.Table:
+        block, ids, n, component = (group.column(c).to_numpy() for c in ("block", "id", "n", "component"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        p, q = np.flatnonzero(block == group.column("lo")[0].as_py()), np.flatnonzero(block == group.column("hi")[0].as_py())
+        t, found = THRESHOLD / 100, [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(p), 64):
+            x = p[at : at + 64]
+            few, many = np.minimum(n[x][:, None], n[q]), np.maximum(n[x][:, None], n[q])
+            i, j = np.nonzero((component[x][:, None] != component[q]) & (few >= t * many))
+            for k in range(0, len(i), 1 << 16):
+                u, v = x[i[k : k + (1 << 16)]], q[j[k : k + (1 << 16)]]
+                keep = estimate(sketch[u], sketch[v]) >= t - 5 * np.sqrt(t * (1 - t) / np.minimum(np.minimum(n[u], n[v]), REGISTERS))
+                found.append(np.stack([ids[u[keep]], ids[v[keep]]]))
+        pairs = np.concatenate(found, 1)
+        return pa.table({"a": pairs.min(0), "b": pairs.max(0)})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of documents whose full sets reach the threshold. Texts of documents in a pair alone are moved."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -205,10 +236,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         joined = components(edges)
         label = lambda x: joined.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
         if again:
-            # larger buckets that still hold several components: link each one's least member to the next component's
-            held = large.select("key", "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")).groupBy("key", "component").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-            lead = held.groupBy("key").agg(F.min_by("low", F.xxhash64("component")).alias("x"), F.max_by("high", F.xxhash64("component")).alias("y"), F.count("*").alias("n")).where("n > 1")
-            pairs = stored(_in_reach(held.join(lead, "key").select(F.explode(F.expr("array(struct(low a, x b), struct(low a, y b), struct(high a, x b), struct(high a, y b))")).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b").distinct(), classes), "pairs")
+            pairs = stored(_in_blocks(large, joined, classes), "pairs")
         apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
         apart = stored(apart, "apart")
         if not apart.isEmpty():

@@ -316,6 +316,36 @@ def test_near_dedup_against_all_pairs(docs, texts, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(174)]
+    texts = []
+    for i in range(75):
+        tail = [f"p{i}x{k}" for k in range(10)]
+        texts += [" ".join(template + tail + [f"q{i}y{c}z{k}" for k in range(20)]) for c in (0, 1)]
+    order = rng.sample(range(len(texts)), len(texts))
+    frame = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == {order[i]: min(order[i], order[i ^ 1]) for i in range(len(texts))}
+
+
+def test_mixed_rows_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, "a b c", "s"), (1, "one two", "s"), (1, "three four five", "t"), (2, "", "t"), (None, "x", None)] + [(i, "w " * 9, "u") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: (r["doc_id"], r["text"], r["source"])
+    want = {}
+    for r in mixing.mix(docs, ("text", "source")).collect():
+        if r["taken"]:
+            want[key(r)] = -(-r["taken"] // r["size"])
+    got = {}
+    for r in corpus_pipeline.mixed(spark, docs, "").collect():
+        got[key(r)] = got.get(key(r), 0) + 1
+    assert got == want and (None, "a b c", "s") in got and (2, "", "t") not in got
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vectors = [[float(x) for x in rng.normal(size=16)] for _ in range(300)]
