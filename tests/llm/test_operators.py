@@ -322,8 +322,8 @@ def test_near_dedup_in_large_buckets(spark, monkeypatch):
     template = [f"t{i}" for i in range(174)]
     texts = []
     for i in range(75):
-        tail = [f"p{i}x{k}" for k in range(10)]
-        texts += [" ".join(template + tail + [f"q{i}y{c}z{k}" for k in range(20)]) for c in (0, 1)]
+        tail = [f"p{i}x{k}" for k in range(5)]
+        texts += [" ".join(template + tail + [f"q{i}y{c}z{k}" for k in range(25)]) for c in (0, 1)]
     order = rng.sample(range(len(texts)), len(texts))
     frame = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()}
