@@ -2,15 +2,19 @@
 
 Vectors are cut into segments, coarse to fine. With a segment's mean and deviation the distance of two vectors has the
 lower bound sum L ((m_q - m_x)^2 + (s_q - s_x)^2), and as 2 q.x = |q|^2 + |x|^2 - d^2 the score has an upper bound. A
-worker keeps each query's k-th best score so far; candidates that no query's bound lets through are dropped level by
-level, and exact integer scores are computed for survivors alone. Bounds are widened by more than rounding can take.
-
-Queries are taken in blocks of bounded size, each sent to all workers in turn; each task returns its best k of a query,
-and those are merged by a top-k that is partial before the shuffle.
-
-Defined cases: vectors that are null, of another width than the first, or hold null or non-finite components take no
-part; with fewer than k candidates all come out; equal vectors tie by id; repeated ids are all candidates but none of
-them for its own id; extra columns are ignored; an empty table gives no rows.
+worker keeps each query's k-th best score so far; a pair of query and candidate is dropped at the first level whose
+bound lies below it, and exact integer scores are computed for the pairs that survive. Bounds are widened by more than
+rounding can take.
+
+Queries and candidates are packed into blocks of bounded size, as rows. Each block of queries meets each block of
+candidates in one of many groups, dealt by (block of queries, salt); a task streams the candidates' blocks past the
+queries', keeps the best k of each query and returns them, and those are merged by a top-k that is partial before the
+shuffle. The vectors are read once, nothing comes to the driver but counts, and no block is broadcast.
+
+Defined cases: vectors that are null, of another width than the most frequent, or hold null or non-finite components
+take no part; a component whose 64-fold or a score that does not fit a long raises; with fewer than k candidates all
+come out; equal vectors tie by id; repeated ids are all candidates but none of them for its own id, and one query;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,107 +26,169 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import table
+from lumenframe.llm.common import partitions, table
 
-#: Queries that are sent to the workers at a time (with 64 components, 2 MB), and segments of each level.
+#: Vectors of a block of queries (with 64 components, 2 MB) and of candidates, and segments of each level.
 QUERY_BLOCK = 4096
-LEVELS = (4, 16)
 ROWS = 2048
+LEVELS = (4, 16)
+#: Where fewer than this share of a block's pairs survive they are scored one by one, else by one product of matrices.
+SPARSE = 0.1
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def quantised(x: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component as long; null if the vector cannot take part."""
-    sound = x.isNotNull() & F.forall(x, lambda c: F.coalesce(c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 2.0**40), F.lit(False)))
-    return F.when(sound, F.transform(x, lambda c: F.floor(c.cast("double") * scale)))
+    sound = x.isNotNull() & F.forall(x, lambda c: F.coalesce(c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), F.lit(False)))
+    whole = lambda c: F.when(F.abs(c.cast("double") * scale) < 2.0**63, F.floor(c.cast("double") * scale)).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long"))
+    return F.when(sound, F.transform(x, whole))
 
 
-def _statistics(v: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """sqrt(L) times the mean and the deviation of each segment, side by side, and the squared lengths."""
+def statistics(v: np.ndarray, segments: int) -> np.ndarray:
+    """sqrt(L) times the mean and the deviation of each segment, side by side."""
     parts = np.array_split(np.arange(v.shape[1]), min(segments, v.shape[1]))
     return np.concatenate([np.stack([v[:, p].mean(1) * len(p) ** 0.5 for p in parts], 1), np.stack([v[:, p].std(1) * len(p) ** 0.5 for p in parts], 1)], 1)
 
 
-def _best(queries: np.ndarray, ids: np.ndarray, k: int, levels: tuple[int, ...], batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the k best (score, id) of the batches; unused places hold the least score."""
-    least = np.iinfo(np.int64).min
-    scores, found = np.full((len(queries), k), least), np.full((len(queries), k), np.iinfo(np.int64).max)
-    stats = [_statistics(queries, s) for s in levels]
-    for x_ids, x in batches:
-        for at in range(0, len(x), ROWS):
-            xi, xv = x_ids[at : at + ROWS], x[at : at + ROWS]
-            kth = scores[:, -1].astype(float)
-            alive, active = np.arange(len(xv)), np.arange(len(queries))
-            for s, q in zip(levels, stats, strict=True):
-                if not len(alive) or not np.isfinite(kth).all() or (kth == float(least)).any():
+def _dots(a: np.ndarray, b: np.ndarray, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> np.ndarray:
+    """Exact products of integers, of all pairs or of given ones. In doubles up to 2**53, else in integers; raises where a sum is no long."""
+    pairs = rows is not None
+    if a.dtype == np.float64:
+        return (np.einsum("ij,ij->i", a[rows], b[columns]) if pairs else a @ b.T).astype(np.int64)
+    high = np.abs(a.astype(float)) @ np.abs(b.astype(float)).T
+    if high.size and high.max() >= 2.0**62:
+        exact = a.astype(object) @ b.astype(object).T
+        if max(abs(x) for x in exact.ravel()) > _MOST:
+            raise OverflowError("a score does not fit a long")
+        dense = exact.astype(np.int64)
+    else:
+        dense = a @ b.T
+    return dense[rows, columns] if pairs else dense
+
+
+class Search:
+    """The k best candidates of each of a block of queries, fed block by block."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> None:
+        self.ids, self.queries, self.k, self.levels = ids, queries, k, levels
+        self.scores, self.found = np.full((len(ids), k), _LEAST), np.full((len(ids), k), _MOST)
+        self.stats = [statistics(queries.astype(float), s) for s in levels]
+        self.pairs = self.scored = 0
+
+    def feed(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        alive = np.ones((len(self.ids), len(ids)), bool)
+        kth = self.scores[:, -1]
+        if (kth > _LEAST).all():
+            for s, q in zip(self.levels, self.stats, strict=True):
+                rows, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+                if not len(rows):
                     break
-                bound = q[active] @ _statistics(xv[alive], s).T
-                passes = bound + 1e-6 * np.abs(bound) + 1 >= kth[active, None]
-                alive, active = alive[passes.any(0)], active[passes.any(1)]
-            if not len(alive) or not len(active):
-                continue
-            exact = (queries[active] @ xv[alive].T).astype(np.int64)
-            own = ids[active, None] == xi[alive]
-            exact[own] = least
-            some = np.flatnonzero((exact >= scores[active, -1:]).any(1))
-            for lo in range(0, len(some), 256):
-                rows = active[some[lo : lo + 256]]
-                s = np.concatenate([scores[rows], exact[some[lo : lo + 256]]], 1)
-                i = np.concatenate([found[rows], np.broadcast_to(xi[alive], (len(rows), len(alive)))], 1)
-                if s.shape[1] > 8 * k:
-                    cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                    # ties at the cut are all kept for the order by id
-                    i = np.where(s >= cut[:, None], i, np.iinfo(np.int64).max)
-                    s = np.where(s >= cut[:, None], s, least)
-                order = np.lexsort((i, -np.maximum(s, least + 1)), axis=1)[:, :k]
-                scores[rows], found[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-    return scores, found
+                bound = q[rows] @ statistics(vectors[columns].astype(float), s).T
+                alive[np.ix_(rows, columns)] &= bound + 1e-6 * np.abs(bound) + 1 >= kth[rows, None].astype(float)
+        self.pairs += alive.size
+        i, j = np.nonzero(alive)
+        if len(i) < SPARSE * alive.size:
+            self.scored += len(i)
+            score = _dots(self.queries, vectors, i, j)
+        else:
+            rows, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            dense = _dots(self.queries[rows], vectors[columns])
+            self.scored += dense.size
+            spot = np.empty(alive.shape[0], np.int64), np.empty(alive.shape[1], np.int64)
+            spot[0][rows], spot[1][columns] = np.arange(len(rows)), np.arange(len(columns))
+            score = dense[spot[0][i], spot[1][j]]
+        keep = (score >= kth[i]) & (self.ids[i] != ids[j])
+        self._merge(i[keep], ids[j[keep]], score[keep])
+
+    def _merge(self, query: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
+        if not len(query):
+            return
+        touched = np.unique(query)
+        query = np.concatenate([np.repeat(touched, self.k), query])
+        found = np.concatenate([self.found[touched].ravel(), found])
+        score = np.concatenate([self.scores[touched].ravel(), score])
+        order = np.lexsort((found, -np.maximum(score, _LEAST + 1), query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        best = place < self.k
+        self.scores[query[best], place[best]] = score[order][best]
+        self.found[query[best], place[best]] = found[order][best]
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        q, r = np.nonzero(self.found < _MOST)
+        for at in range(0, len(q), 65536):
+            a, b = q[at : at + 65536], r[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[a]), pa.array(self.found[a, b]), pa.array(self.scores[a, b])], ["query_id", "vec_id", "score"])
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (ids, flat) of up to so many vectors each, packed where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, flat, n = [], [], 0
+
+        def full() -> pa.RecordBatch:
+            columns = [np.concatenate(ids), np.concatenate(flat)]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in columns], ["ids", "flat"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size - n % size)
+                for lo in range(0, batch.num_rows - at, size):
+                    part = batch.slice(at + lo, min(size, batch.num_rows - at - lo))
+                    ids.append(part.column(0).to_numpy())
+                    flat.append(part.column(1).flatten().to_numpy())
+                    n += part.num_rows
+                    if n >= size:
+                        yield full()
+                        ids, flat, n = [], [], 0
+                break
+        if n:
+            yield full()
+
+    return rows.select("vec_id", "v").mapInArrow(run, "ids array<long>, flat array<long>")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, levels: tuple[int, ...] = LEVELS, block: int = QUERY_BLOCK) -> DataFrame:
     """vectors, queries: (vec_id, v: array<long>). Rows query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     vectors, queries = vectors.where("v is not null"), queries.where("v is not null")
-    width = vectors.select(F.size("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
-    schema = "query_id long, vec_id long, score long"
-    if not width:
+    facts = vectors.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).alias("greatest")).orderBy(F.desc("n"), "width").first()
+    if facts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n = width[0]["n"]
-    vectors, queries = vectors.where(F.size("v") == n), queries.where(F.size("v") == n)
+    width, asked = facts["width"], queries.where(F.size("v") == facts["width"]).dropDuplicates(["vec_id", "v"])
+    n_queries = asked.count()
     # integers in doubles are exact up to 2**53; larger vectors use exact integer products
-    greatest = vectors.agg(F.max(F.greatest(F.array_max("v"), -F.array_min("v")))).first()[0] or 0
-    kind = np.float64 if greatest * greatest * max(n, 1) < 2**52 else np.int64
-
-    def search(ids: np.ndarray, matrix: np.ndarray):  # noqa: ANN202
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own_ids, own = sent.value
-            parts = ((b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, n).astype(kind)) for b in batches if b.num_rows)
-            scores, found = _best(own, own_ids, k, levels, parts)
-            q, r = np.nonzero(scores > np.iinfo(np.int64).min)
-            for at in range(0, len(q), 65536):
-                a, b = q[at : at + 65536], r[at : at + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids[a]), pa.array(found[a, b]), pa.array(scores[a, b])], ["query_id", "vec_id", "score"])
-
-        return vectors.select("vec_id", "v").mapInArrow(run, schema)
-
-    found, ids, rows = None, [], []
-
-    def flush() -> None:
-        nonlocal found, ids, rows
-        if ids:
-            part = search(np.array(ids, np.int64), np.array(rows, np.int64).astype(kind).reshape(-1, n))
-            found = part if found is None else found.unionByName(part)
-            ids, rows = [], []
-
-    for row in queries.select("vec_id", "v").distinct().toLocalIterator():
-        ids.append(row["vec_id"])
-        rows.append(row["v"])
-        if len(ids) == block:
-            flush()
-    flush()
-    if found is None:
+    kind = np.float64 if float(facts["greatest"] or 0) ** 2 * max(width, 1) < 2**52 else np.int64
+    blocks = max(1, -(-n_queries // block))
+    salts = max(1, -(-2 * partitions(spark) // blocks))
+    groups = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    numbered = asked.repartition(blocks, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asking = _packed(numbered, block).select(F.pmod(F.xxhash64("ids"), F.lit(1 << 40)).alias("block"), "ids", "flat")
+    names = [r["block"] for r in asking.select("block").distinct().limit(4 * blocks + 64).collect()] if n_queries else []
+    if not names:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asking = asking.select("block", groups.alias("salt"), F.lit(0).alias("kind"), "ids", "flat")
+    packed = _packed(vectors.where(F.size("v") == width), ROWS)
+    offered = packed.select(F.explode(F.array(*map(F.lit, names))).alias("block"), F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "ids", "flat")
+    dealt = asking.unionByName(offered).repartition(max(partitions(spark), min(salts * len(names), 4096)), "block", "salt").sortWithinPartitions("block", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search: Search | None = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, flat = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+                matrix = flat.reshape(len(ids), -1).astype(kind)
+                if batch.column(2)[i].as_py() == 0:
+                    if search:
+                        yield from search.result()
+                    search = Search(ids, matrix, k, levels)
+                else:
+                    search.feed(ids, matrix)
+        if search:
+            yield from search.result()
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
