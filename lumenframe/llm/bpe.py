@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ END = "</w>"
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries that a worker keeps of each of its two caches.
 CACHE_ENTRIES = 300_000
+#: The words it holds have at most so many characters in sum, unless one text alone has more.
+CACHE_CHARS = 1 << 24
 
 
 @cache
@@ -48,9 +51,8 @@ def _latin(kind: str) -> str:
 class ForcedBoundaryBPE:
     """Reads a tokenizer file of kind: NFC, white space, lower case; a split pattern; byte level; BPE with word ends."""
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: bytes, cache_entries: int = CACHE_ENTRIES) -> None:
+        spec = json.loads(content)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -64,7 +66,7 @@ class ForcedBoundaryBPE:
         self.latin_words_of = re.compile(latin).findall
         self.beyond_latin = re.compile("[^\x00-ɏ]").search
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.cache_entries = cache_entries
+        self.cache_entries, self.cached_chars = cache_entries, 0
         self.fragments: dict[tuple[str, ...], list[int]] = {}
         self.words: dict[str, str] = {}
         self.spelled: dict[str, str] = {}
@@ -136,10 +138,13 @@ class ForcedBoundaryBPE:
     def learn(self, words: list[str]) -> None:
         """Puts into the caches what they lack of these words."""
         new = {w for w in words if w not in self.words}
-        if len(self.words) + len(new) > self.cache_entries:
+        more = sum(map(len, new))
+        if len(self.words) + len(new) > self.cache_entries or self.cached_chars + more > CACHE_CHARS:
             self.words.clear()
             self.spelled.clear()
             new = {*words}
+            self.cached_chars, more = 0, sum(map(len, new))
+        self.cached_chars += more
         for w in new:
             ids = self.encode_word(w)
             self.words[w] = " ".join(map(str, ids))
@@ -149,7 +154,7 @@ class ForcedBoundaryBPE:
         """(decimal ids joined by one space, decoded text) of a whole text."""
         ids: list[str] = []
         decoded: list[str] = []
-        for piece in self.special_split(text) if "<|" in text else (text,):
+        for piece in self.special_split(text) if any(x in text for x in self.special) else (text,):
             if piece in self.special:
                 ids.append(str(self.special[piece]))
                 decoded.append(piece)
@@ -172,19 +177,21 @@ class ForcedBoundaryBPE:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-_models: dict[str, ForcedBoundaryBPE] = {}
+_models: dict[int, ForcedBoundaryBPE] = {}
 
 
-def model(path: str) -> ForcedBoundaryBPE:
-    """One model a worker process."""
-    if path not in _models:
-        _models[path] = ForcedBoundaryBPE(path)
-    return _models[path]
+def model(content: bytes) -> ForcedBoundaryBPE:
+    """One model a worker process, from the bytes of its vocabulary file."""
+    if hash(content) not in _models:
+        _models[hash(content)] = ForcedBoundaryBPE(content)
+    return _models[hash(content)]
 
 
 def encode_documents(docs: DataFrame, path: str, give: str = "ids array<int>, decoded string") -> DataFrame:
     """doc_id, n_tokens and what is asked for of ids (array<int>), decoded, ids_sha256 and decoded_sha256 (hex; string)."""
     asked = [x.split()[0] for x in give.split(", ")]
+    # the driver reads the vocabulary, a few MB, and sends it: executors need no copy of the file
+    sent = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     makers = {
         "ids": lambda ids, _: np.array(ids.split(), np.int32),
         "decoded": lambda _, decoded: decoded,
@@ -193,7 +200,7 @@ def encode_documents(docs: DataFrame, path: str, give: str = "ids array<int>, de
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path)
+        bpe = model(sent.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)

@@ -141,17 +141,18 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Only hashes are shuffled to find groups of more than one row; texts follow only for those.
     """
-    canon = canonical(F.col(text))
-    hashed = docs.select("*", *wide_hash(canon, "_a", "_b"))
-    groups = stored(hashed.groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).count().where("count > 1").select("a", "b"), "groups")
-    inside = having(docs.select(canon.alias("canon")).select(*wide_hash(F.col("canon"), "a", "b"), "canon"), groups, ["a", "b"])
-    ranks = collision_ranks(inside)
-    out = docs.select("*", *wide_hash(canon, "_a", "_b"), F.char_length(canon).alias("canonical_length"), F.sha2(canon, 256).alias("_proof"))
+    docs = docs.drop("fingerprint", "canonical_length")
+    # rows are carried as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), canonical(F.col(text)).alias("canon"))
+    rows = rows.select("row", "canon", *wide_hash(F.col("canon"), "a", "b"))
+    groups = stored(rows.groupBy("a", "b").count().where("count > 1").select("a", "b"), "groups")
+    ranks = collision_ranks(having(rows.select("a", "b", "canon"), groups, ["a", "b"]))
+    out = rows.select("row", "a", "b", F.char_length("canon").alias("canonical_length"), F.sha2("canon", 256).alias("proof"))
     mark = F.lit("")
     if ranks is not None:
-        out = out.join(ranks.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("proof").alias("_proof"), "place"), ["_a", "_b", "_proof"], "left")
+        out = out.join(ranks, ["a", "b", "proof"], "left")
         mark = F.coalesce(F.concat(F.lit("-"), F.col("place").cast("string")), F.lit(""))
-    return out.select(*[F.col(c) for c in docs.columns], F.concat(digest("_a", "_b"), mark).alias("fingerprint"), "canonical_length")
+    return out.select("row.*", F.concat(digest("a", "b"), mark).alias("fingerprint"), "canonical_length")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

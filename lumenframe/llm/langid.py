@@ -30,8 +30,8 @@ LENGTHS = (1, 2, 3)
 STRETCH = 1 << 18
 #: Learned from about this many documents of each language at most, those of least hash; more adds nothing measurable.
 TRAIN_PER_LANGUAGE = 4_000
-#: The most languages a model has: the most frequent ones.
-LANGUAGES = 512
+#: The most cells of a matrix (64 MB). With more than 256 languages n-grams are hashed to fewer features; no language is left out.
+CELLS = 1 << 24
 
 
 @cache
@@ -44,7 +44,12 @@ def _letters() -> np.ndarray:
     return out
 
 
-def ngrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def width(languages: int) -> int:
+    """The number of features for so many languages: a power of two."""
+    return min(FEATURES, 1 << max(0, (CELLS // max(languages, 1)).bit_length() - 1))
+
+
+def ngrams(column: pa.Array, features_: int = FEATURES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For row ranges of a string column: (from, to, feature of each n-gram, its row less from, letters of each row)."""
     lowered = pc.utf8_lower(column.fill_null("") if column.null_count else column)
     data, offsets = string_view(lowered)
@@ -64,7 +69,7 @@ def ngrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
             for i in range(n):
                 h = h * np.uint64(0x100000001B3) + points[i : i + m]
             keep = row[:m] == row[n - 1 :]
-            features.append((mix64(h)[keep] & np.uint64(FEATURES - 1)).astype(np.int32))
+            features.append((mix64(h)[keep] & np.uint64(features_ - 1)).astype(np.int32))
             rows.append(row[:m][keep])
         yield a, b, np.concatenate(features or [np.zeros(0, np.int32)]), np.concatenate(rows or [np.zeros(0, np.int64)]), letters
 
@@ -74,30 +79,32 @@ def held_out(of: int, remainder: int, key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages by name and their log-probabilities (FEATURES + 1 rows, the last the priors) from docs (doc_id, text, lang)."""
+    """Languages by name and their log-probabilities (a row a feature, the last the priors) from docs (doc_id, text, lang)."""
     labelled = docs.where("lang is not null and text is not null and doc_id is not null")
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
         return [], np.zeros((FEATURES + 1, 0), np.float32)
+    wide = width(len(langs))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / totals[k]))])
     drawn = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.try_element_at(share, F.col("lang")))
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(langs) * FEATURES, np.int64)
+        sums = np.zeros(len(langs) * wide, np.int64)
         for batch in batches:
             lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
-            for a, b, feature, row, _ in ngrams(batch.column(0)):
-                sums += np.bincount(lang[a:b][row] * FEATURES + feature, minlength=len(sums))
+            for a, b, feature, row, _ in ngrams(batch.column(0), wide):
+                cell, n = np.unique(lang[a:b][row] * wide + feature, return_counts=True)
+                sums[cell] += n
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["cell", "n"])
 
-    # at most LANGUAGES * FEATURES cells, summed in blocks of one row each
+    # at most CELLS cells come to the driver
     cells = drawn.select("text", "lang").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(langs) * FEATURES)
+    counts = np.zeros(len(langs) * wide)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    counts = counts.reshape(len(langs), FEATURES).T + alpha
+    counts = counts.reshape(len(langs), wide).T + alpha
     prior = np.array([totals[k] for k in langs], float)
     return langs, np.vstack([np.log(counts / counts.sum(0)), np.log(prior / prior.sum())]).astype(np.float32)
 
@@ -114,7 +121,7 @@ def classify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         for batch in batches:
             pred = np.full(batch.num_rows, -1)
             score = np.zeros(batch.num_rows)
-            for a, b, feature, row, letters in ngrams(batch.column(at)) if langs else ():
+            for a, b, feature, row, letters in ngrams(batch.column(at), len(logp) - 1) if langs else ():
                 sums = np.stack([np.bincount(row, logp[feature, k], minlength=b - a) for k in range(len(langs))], 1) + logp[-1]
                 best = sums.argmax(1)
                 found = letters > 0

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import partitions, table
+from lumenframe.llm.common import partitions, ship, stored, table
 
 #: Vectors of a block of queries (with 64 components, 2 MB) and of candidates, and segments of each level.
 QUERY_BLOCK = 4096
-ROWS = 2048
+ROWS = 1024
 LEVELS = (4, 16)
 #: Where fewer than this share of a block's pairs survive they are scored one by one, else by one product of matrices.
 SPARSE = 0.1
@@ -50,20 +50,19 @@ def statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([np.stack([v[:, p].mean(1) * len(p) ** 0.5 for p in parts], 1), np.stack([v[:, p].std(1) * len(p) ** 0.5 for p in parts], 1)], 1)
 
 
-def _dots(a: np.ndarray, b: np.ndarray, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> np.ndarray:
-    """Exact products of integers, of all pairs or of given ones. In doubles up to 2**53, else in integers; raises where a sum is no long."""
-    pairs = rows is not None
+def _dots(a: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact products of all pairs of integer vectors, the least number where own. In doubles up to 2**53, else in integers; raises where a sum is no long."""
     if a.dtype == np.float64:
-        return (np.einsum("ij,ij->i", a[rows], b[columns]) if pairs else a @ b.T).astype(np.int64)
-    high = np.abs(a.astype(float)) @ np.abs(b.astype(float)).T
-    if high.size and high.max() >= 2.0**62:
-        exact = a.astype(object) @ b.astype(object).T
+        dense = (a @ b.T).astype(np.int64)
+    elif np.where(own, 0, np.abs(a.astype(float)) @ np.abs(b.astype(float)).T).max(initial=0) < 2.0**62:
+        dense = a @ b.T
+    else:
+        exact = np.where(own, 0, a.astype(object) @ b.astype(object).T)
         if max(abs(x) for x in exact.ravel()) > _MOST:
             raise OverflowError("a score does not fit a long")
         dense = exact.astype(np.int64)
-    else:
-        dense = a @ b.T
-    return dense[rows, columns] if pairs else dense
+    dense[own] = _LEAST
+    return dense
 
 
 class Search:
@@ -86,19 +85,22 @@ class Search:
                 bound = q[rows] @ statistics(vectors[columns].astype(float), s).T
                 alive[np.ix_(rows, columns)] &= bound + 1e-6 * np.abs(bound) + 1 >= kth[rows, None].astype(float)
         self.pairs += alive.size
-        i, j = np.nonzero(alive)
-        if len(i) < SPARSE * alive.size:
-            self.scored += len(i)
-            score = _dots(self.queries, vectors, i, j)
+        if vectors.dtype == np.float64 and alive.sum() < SPARSE * alive.size:
+            i, j = np.nonzero(alive)
+            score = np.einsum("ij,ij->i", self.queries[i], vectors[j]).astype(np.int64)
+            keep = (score >= kth[i]) & (self.ids[i] != ids[j])
+            i, j, score = i[keep], j[keep], score[keep]
+            self.scored += len(keep)
         else:
             rows, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-            dense = _dots(self.queries[rows], vectors[columns])
+            dense = _dots(self.queries[rows], vectors[columns], self.ids[rows, None] == ids[columns])
             self.scored += dense.size
-            spot = np.empty(alive.shape[0], np.int64), np.empty(alive.shape[1], np.int64)
-            spot[0][rows], spot[1][columns] = np.arange(len(rows)), np.arange(len(columns))
-            score = dense[spot[0][i], spot[1][j]]
-        keep = (score >= kth[i]) & (self.ids[i] != ids[j])
-        self._merge(i[keep], ids[j[keep]], score[keep])
+            least = kth[rows]
+            if len(columns) > self.k:
+                least = np.maximum(least, np.partition(dense, len(columns) - self.k, 1)[:, len(columns) - self.k])
+            i, j = np.nonzero((dense >= least[:, None]) & (dense > _LEAST))
+            i, j, score = rows[i], columns[j], dense[i, j]
+        self._merge(i, ids[j], score)
 
     def _merge(self, query: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
         if not len(query):
@@ -132,17 +134,15 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in columns], ["ids", "flat"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size - n % size)
-                for lo in range(0, batch.num_rows - at, size):
-                    part = batch.slice(at + lo, min(size, batch.num_rows - at - lo))
-                    ids.append(part.column(0).to_numpy())
-                    flat.append(part.column(1).flatten().to_numpy())
-                    n += part.num_rows
-                    if n >= size:
-                        yield full()
-                        ids, flat, n = [], [], 0
-                break
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - n)
+                ids.append(part.column(0).to_numpy())
+                flat.append(part.column(1).flatten().to_numpy())
+                at, n = at + part.num_rows, n + part.num_rows
+                if n == size:
+                    yield full()
+                    ids, flat, n = [], [], 0
         if n:
             yield full()
 
@@ -152,6 +152,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, levels: tuple[int, ...] = LEVELS, block: int = QUERY_BLOCK) -> DataFrame:
     """vectors, queries: (vec_id, v: array<long>). Rows query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    ship(spark)
     vectors, queries = vectors.where("v is not null"), queries.where("v is not null")
     facts = vectors.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).alias("greatest")).orderBy(F.desc("n"), "width").first()
     if facts is None:
@@ -164,8 +165,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, levels: tuple[int
     salts = max(1, -(-2 * partitions(spark) // blocks))
     groups = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     numbered = asked.repartition(blocks, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asking = _packed(numbered, block).select(F.pmod(F.xxhash64("ids"), F.lit(1 << 40)).alias("block"), "ids", "flat")
-    names = [r["block"] for r in asking.select("block").distinct().limit(4 * blocks + 64).collect()] if n_queries else []
+    # stored, as another run may pack them otherwise; there are as many as blocks of queries, and twice that at most
+    asking = stored(_packed(numbered, block).select(F.pmod(F.xxhash64("ids"), F.lit(1 << 40)).alias("block"), "ids", "flat"), "query-blocks")
+    names = [r["block"] for r in asking.select("block").distinct().collect()]
     if not names:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     asking = asking.select("block", groups.alias("salt"), F.lit(0).alias("kind"), "ids", "flat")

@@ -5,7 +5,7 @@ texts U with the class prior p: p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]),
 part falls below zero its gradient is turned round, as the paper has it. Training is numpy on a bounded sample.
 
 Defined cases: a null text is the empty text and scores by the bias alone; without confirmed toxic texts every score is
-the prior (0 if there are no labels); a null doc_id is neither learned from nor held out; ids that `labels` repeats
+the prior (about 1e-13 if no label is positive); a null doc_id is neither learned from nor held out; ids that `labels` repeats
 count as toxic if any row says so; extra columns are ignored.
 """
 
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import row_chunks, span_hashes, string_view, table
+from lumenframe.llm.common import row_chunks, ship, span_hashes, stored, string_view, table
 from lumenframe.llm.langid import held_out
 
 #: The sample that is learned from: at most so many confirmed toxic and so many unlabelled texts, those of least hash.
@@ -54,25 +54,22 @@ def _indices(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == hashes, at, -1) if len(keys) else np.full(len(hashes), -1)
 
 
-def select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Sorted hashes of the words that tell confirmed texts from unlabelled ones; each text is given as its distinct hashes."""
-    keys, seen = np.unique(np.concatenate(positive), return_counts=True)
-    other = _indices(keys, np.concatenate(unlabelled))
-    against = np.bincount(other[other >= 0], minlength=len(keys))
-    n, m = len(positive), len(unlabelled)
-    share = (seen + against) / (n + m)
-    z = (seen / n - against / m) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / m))
-    good = np.flatnonzero((seen >= MIN_TEXTS) & (z >= MIN_Z))
-    return np.sort(keys[good[np.argsort(-z[good], kind="stable")[:FEATURES]]])
+def select(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that tell confirmed texts from unlabelled ones. rows: (words: array<long>, distinct ones; toxic). Counted on the executors."""
+    totals = rows.agg(F.sum("toxic").alias("n"), F.sum(1 - F.col("toxic")).alias("m")).first()
+    n, m = float(totals["n"]), float(totals["m"])
+    words = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("seen"), F.sum(1 - F.col("toxic")).alias("against")).where(F.col("seen") >= MIN_TEXTS)
+    share = (F.col("seen") + F.col("against")) / (n + m)
+    z = (F.col("seen") / n - F.col("against") / m) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n + 1 / m))
+    best = words.select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(FEATURES).collect()
+    return np.sort(np.array([r["word"] for r in best], np.int64).view(np.uint64))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """A model by Adam on the non-negative risk."""
-    keys = select(positive, unlabelled)
+def fit(keys: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """A model over the words of keys by Adam on the non-negative risk; texts are given as places among keys."""
     both = [*positive, *unlabelled]
-    column = _indices(keys, np.concatenate(both))
-    row = np.repeat(np.arange(len(both)), [len(x) for x in both])[column >= 0]
-    column, n, k = column[column >= 0], len(positive), len(keys)
+    row, column = np.repeat(np.arange(len(both)), [len(x) for x in both]), np.concatenate(both).astype(np.int64)
+    n, k = len(positive), len(keys)
     w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
@@ -95,6 +92,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from docs (doc_id, text) and labels (doc_id, toxic), both already without held-out rows."""
+    ship(docs.sparkSession)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     seen = marks.agg(F.count("*").alias("n"), F.count_if("toxic").alias("k")).first()
     if not seen["k"]:
@@ -108,15 +106,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, row, hashes in words(batch.column(0)):
-                parts = [np.unique(p).tobytes() for p in np.split(hashes, np.searchsorted(row, np.arange(1, b - a)))]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), batch.column(1).slice(a, b - a)], ["features", "toxic"])
+                parts = [np.unique(p).view(np.int64) for p in np.split(hashes, np.searchsorted(row, np.arange(1, b - a)))]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.int64())), batch.column(1).slice(a, b - a)], ["words", "toxic"])
 
-    # order fixes the sums, so that reruns agree
-    rows = sorted(map(tuple, drawn.mapInArrow(features, "features binary, toxic int").collect()))
-    apart = {t: [np.frombuffer(x, np.uint64) for x, y in rows if y == t] for t in (0, 1)}
-    if not apart[1] or not apart[0]:
+    rows = stored(drawn.mapInArrow(features, "words array<long>, toxic int"), "toxicity-words")
+    kinds = {r["toxic"] for r in rows.select("toxic").distinct().collect()}
+    if kinds != {0, 1}:
         return np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior)))
-    return fit(apart[1], apart[0], prior)
+    keys = select(rows)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_indices(keys, x.values.to_numpy().view(np.uint64)) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[x >= 0].astype(np.uint16).tobytes() for x in found], pa.binary()), batch.column(1)], ["places", "toxic"])
+
+    # of each text at most FEATURES places of two bytes; their order fixes the sums, so that reruns agree
+    learned = sorted(map(tuple, rows.mapInArrow(places, "places binary, toxic int").collect()))
+    apart = {t: [np.frombuffer(x, np.uint16) for x, y in learned if y == t] for t in (0, 1)}
+    return fit(keys, apart[1], apart[0], prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

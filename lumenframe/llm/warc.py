@@ -3,7 +3,8 @@
 An archive is two tables in the shared folder. `payloads` holds the bytes of each distinct payload once, under its
 SHA-256. `headers` holds each record's exact header block and the digest of its payload. Reading verifies every stored
 payload against its key and every record's declared SHA-1 against the bytes, and puts records together by a join.
-`record_bytes` gives the records as they stand in a WARC/1.1 file; `export_warc` and `read_warc` write and parse such files.
+`record_bytes` gives the records as they stand in a WARC/1.1 file and `parsed` takes such bytes apart again;
+`export_warc` and `read_warc` write and parse files, member by member.
 
 Defined cases: a null payload is empty; a null url is an empty target; of rows that repeat page_id and payload one is
 the response and the others revisit it; a null page_id sorts as the smallest and stays null; extra columns are ignored;
@@ -12,7 +13,10 @@ an empty table gives an empty archive.
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -80,8 +84,8 @@ def _field(name: str) -> Column:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record: page_id, record_type, refers_to, header, payload (of the response for revisits), payload_bytes, payload_digest.
 
-    Payloads are verified before the join, so a read that needs no bytes moves none. The join's payload side has one
-    row a digest; a digest that many headers share is split by Spark's handling of skewed joins.
+    Payloads are verified before the join. Its payload side has one row a digest; a digest that many headers share is
+    split by Spark's handling of skewed joins.
     """
     whole = F.sha2("payload", 256) == F.col("digest")
     payloads = spark.read.parquet(f"{path}/payloads").select(F.when(whole, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("a payload does not match its digest "), F.col("digest")))).alias("digest"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
@@ -92,37 +96,106 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
-    """page_id and the whole record as text, without the two line ends that close it."""
-    body = F.when(F.col("record_type") == "response", F.decode("payload", "UTF-8")).otherwise(F.lit(""))
-    return records.select("page_id", F.concat("header", F.lit("\r\n" + HTTP), body).alias("value"))
+    """page_id, payload and record: the whole record's bytes, with the two line ends that close it."""
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return records.select("page_id", "payload", F.concat(F.encode(F.concat("header", F.lit("\r\n" + HTTP)), "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
+
+
+def _taken_apart(record: memoryview) -> tuple[dict[str, str], memoryview]:
+    """The fields of one record's header and its payload: the block after the HTTP header. Raises for what is no whole record."""
+    head = bytes(record[: 1 << 16]).partition(b"\r\n\r\n")[0]
+    if len(head) >= (1 << 16) - 4:
+        head = bytes(record).partition(b"\r\n\r\n")[0]
+    version, *rest = head.decode().split("\r\n")
+    fields = dict(line.partition(": ")[::2] for line in rest)
+    block = record[len(head) + 4 : len(head) + 4 + int(fields["Content-Length"])]
+    if version != "WARC/1.1" or bytes(record[len(head) + 4 + len(block) :]) != b"\r\n\r\n":
+        raise ValueError(f"a record of {len(record)} bytes does not end where its header says")
+    if "application/http" in fields.get("Content-Type", ""):
+        at = bytes(block[: 1 << 12]).find(b"\r\n\r\n")
+        at = bytes(block).find(b"\r\n\r\n") if at < 0 else at
+        block = block[at + 4 :] if at >= 0 else block[len(block) :]
+    return fields, block
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """From record_bytes: page_id, record_type, refers_to, payload_bytes and payload_digest of what the records hold, a revisit's from the payload it refers to.
+
+    Every record is parsed as a file's member is; its payload's length and SHA-1 are taken from the bytes and the digest is held against the header's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda x: None if x in (None, "null") else int(x)
+        for batch in batches:
+            out: list[tuple] = []
+            for payload, record in zip(batch.column(1), batch.column(2), strict=True):
+                fields, body = _taken_apart(memoryview(record.as_buffer()))
+                body = memoryview(payload.as_buffer()) if fields["WARC-Type"] == "revisit" else body
+                digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+                if fields["WARC-Payload-Digest"] != f"sha1:{digest}":
+                    raise ValueError(f"a record's payload has another digest than {fields['WARC-Payload-Digest']}")
+                out.append((number(fields["X-Page"]), fields["WARC-Type"], number(fields.get("X-Refers-To-Page")), len(body), digest))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
+
+    return records.select("page_id", "payload", "record").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string")
 
 
 def export_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """Writes WARC/1.1 files, one a task, through Spark's own writer so that any store will do."""
-    record_bytes(records).select("value").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    whole = F.decode(F.expr("substring(record, 1, octet_length(record) - 4)"), "UTF-8")
+    record_bytes(records).select(whole.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+
+def _members(content: bytes, zipped: bool) -> Iterator[bytes]:
+    """The records of a file, one after another; a zipped file is unpacked as far as its next record needs."""
+    source, held, at = (gzip.GzipFile(fileobj=io.BytesIO(content)) if zipped else io.BytesIO(content)), b"", 0
+
+    def upto(n: int) -> bool:
+        nonlocal held, at
+        if len(held) - at < n:
+            more = [held[at:]]
+            while (size := sum(map(len, more))) < n and (part := source.read(max(1 << 16, n - size))):
+                more.append(part)
+            held, at = b"".join(more), 0
+        return len(held) - at >= n
+
+    while upto(1):
+        n = 1 << 12
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not upto(n):
+                raise ValueError("a file ends within a header")
+            n *= 2
+        size = end - at + 4 + int(re.search(rb"\r\nContent-Length: *(\d+)", held[at:end])[1]) + 4
+        if not upto(size):
+            raise ValueError("a file ends within a record")
+        yield held[at : at + size]
+        at += size
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Parses WARC files (plain or gzip): header, record_type, payload (binary: the block after its HTTP header)."""
+    """Parses WARC files (plain or gzip): header, record_type, payload (binary: the block after its HTTP header).
+
+    A worker holds one packed file and one of its records at a time.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["header", "record_type", "payload"])
+
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data, at, rows = gzip.decompress(content) if name.endswith(".gz") else content, 0, []
-                while at < len(data):
-                    end = data.index(b"\r\n\r\n", at)
-                    head = data[at : end + 2]
-                    size = int(re.search(rb"\r\nContent-Length: *(\d+)\r\n", head)[1])
-                    block = data[end + 4 : end + 4 + size]
-                    at = end + 4 + size + 4
-                    kind = re.search(rb"\r\nWARC-Type: *(\w+)", head)[1].decode()
-                    body = block.partition(b"\r\n\r\n")[2] if b"application/http" in head else block
-                    rows.append((head.decode(), kind, body))
-                    if len(rows) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["header", "record_type", "payload"])
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["header", "record_type", "payload"])
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, size = [], 0
+                for record in _members(content.as_py(), name.endswith(".gz")):
+                    fields, body = _taken_apart(memoryview(record))
+                    found.append((record.partition(b"\r\n\r\n")[0].decode() + "\r\n", fields["WARC-Type"], bytes(body)))
+                    size += len(record)
+                    if size >= 1 << 22:
+                        yield rows(found)
+                        found, size = [], 0
+                if found:
+                    yield rows(found)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "header string, record_type string, payload binary")
 
@@ -130,7 +203,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archive")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return parsed(record_bytes(read_archive(spark, path))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = """
