@@ -8,7 +8,7 @@ columns of documents, the last one tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, langid, line_dedup, mixing, near_dedup
@@ -18,16 +18,23 @@ from lumenframe.llm.common import fresh_path, ship, table
 LEAST_SCORE = 0.5
 
 
+def _row(docs: DataFrame) -> Column:
+    """Every column of a row as one struct, so that none clashes with what an operator adds."""
+    return F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised. Nulls and texts without a letter go."""
+    """Documents whose language is recognised. Nulls and texts without a letter go; an empty table gives no rows."""
     ship(spark)
-    return langid.predict(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    found = langid.predict(docs.select("doc_id", "text", "lang", _row(docs)))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with repeated lines taken out of their texts, n_chars counted anew. No document goes."""
-    kept = line_dedup.deduplicate(docs)
-    return kept.select([F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Documents with repeated lines taken out of their texts, n_chars counted anew. No document goes; a null text stays null."""
+    kept = line_dedup.deduplicate(docs.select("doc_id", "text", _row(docs)))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return kept.select([new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +47,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes of a document, sorted by training position, each copy at its own. A last copy that is taken in part stands whole.
 
-    Rows carry themselves through the mix, so those without an id and those that repeat one have their own plans.
+    Null texts and texts without words take nothing and go; an empty table gives no rows; other columns are carried. Rows carry themselves through the mix, so those without an id and those that repeat one have their own plans.
     """
     plan = mixing.copies(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row")), ("row",))
     return plan.select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of what they decode to, for every row."""
+    """doc_id, n_tokens, ids and the digest of what they decode to, for every row; a null text has no tokens."""
     ship(spark)
     return bpe.encode_documents(docs, bpe.vocabulary_path(), "ids array<int>, decoded_sha256 string")
 
