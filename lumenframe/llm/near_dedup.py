@@ -6,8 +6,8 @@ Weber 2017), and an empty register borrows from the next filled one. Bands of fo
 keys. Documents with equal sets are one class from the start, so copies never meet as pairs. Classes that share a
 bucket are candidates: all pairs in buckets of at most ALL_PAIRS classes, links to the bucket's leaders in larger ones.
 Candidates whose collision-corrected estimate is out of reach of the threshold are dropped, the rest are confirmed on
-their full sets, and distributed union-find gives the components. A second round compares all pairs, in blocks, of
-members of larger buckets that are still in different components.
+their full sets, and distributed union-find gives the components. Then all pairs, in blocks, of members of larger
+buckets that are still in different components are compared.
 
 At the threshold itself a pair misses all 32 bands with probability (1 - 0.75^4)^32 = 5e-6.
 
@@ -32,8 +32,8 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 10
 #: In buckets of at most so many classes every pair is a candidate.
 ALL_PAIRS = 16
-#: Members of a larger bucket that a task compares with as many others at a time.
-BLOCK = 1024
+#: Members of a larger bucket, and about so many bytes of their sets, that a task compares with as many others at a time.
+BLOCK, BLOCK_BYTES = 512, 64 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -154,59 +154,78 @@ def _in_reach(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(large: DataFrame, joined: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of one bucket of large (key, id, n) in different components whose sketches leave the threshold in reach.
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, hashes): the full sets of the documents asked for. Texts of those alone are moved."""
+    texts = having(docs.selectExpr("cast(doc_id as long) doc_id", "text"), ids, ["doc_id"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, found in shingle_sets(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "hashes"])
+
+    return stored(texts.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+
+
+def linked(p: np.ndarray, q: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the threshold in percent."""
+    if len(p) > len(q):
+        p, q = q, p
+    if 100 * len(p) < threshold * len(q):
+        return False
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    inter = int((q[at] == p).sum())
+    return 100 * inter >= threshold * (len(p) + len(q) - inter)
+
+
+def _in_blocks(large: DataFrame, joined: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Confirmed links (a, b) between members of one bucket of large (key, id, n) that joined leaves in different components.
 
-    A bucket is dealt into blocks of about BLOCK members and every two blocks are a task's group, so none holds a whole bucket.
+    A bucket is dealt into blocks of bounded members and bytes and every two blocks are a task's group, so none holds a
+    whole bucket. A group compares every pair that its components still hold apart, by registers and then by full sets;
+    what it links is one component from there on, so it returns fewer links than it has members.
     """
     held = stored(large.select("key", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "held")
-    several = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("key", "blocks")
-    rows = held.join(several, "key").join(classes.select("id", "sketch"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "component", "sketch")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
+    several = stored(held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), blocks).where("x <> y").select("key", "blocks"), "several")
+    members = held.join(several, "key")
+    full = _sets(docs, stored(members.select(F.col("id").alias("doc_id")).distinct(), "ids"))
+    rows = members.join(full.hint("merge"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "hashes")
+    t = threshold / 100
 
     def run(group: pa.Table) -> pa.Table:
-        block, ids, n, component = (group.column(c).to_numpy() for c in ("block", "id", "n", "component"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        block, ids = group.column("block").to_numpy(), group.column("id").to_numpy()
+        component = np.unique(group.column("component").to_numpy(), return_inverse=True)[1].ravel()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
+        sketch, n = registers(sets), np.array([len(x) for x in sets])
         p, q = np.flatnonzero(block == group.column("lo")[0].as_py()), np.flatnonzero(block == group.column("hi")[0].as_py())
-        t, found = THRESHOLD / 100, [np.zeros((2, 0), np.int64)]
-        for at in range(0, len(p), 64):
-            x = p[at : at + 64]
-            few, many = np.minimum(n[x][:, None], n[q]), np.maximum(n[x][:, None], n[q])
-            i, j = np.nonzero((component[x][:, None] != component[q]) & (few >= t * many))
-            for k in range(0, len(i), 1 << 16):
-                u, v = x[i[k : k + (1 << 16)]], q[j[k : k + (1 << 16)]]
-                keep = estimate(sketch[u], sketch[v]) >= t - 5 * np.sqrt(t * (1 - t) / np.minimum(np.minimum(n[u], n[v]), REGISTERS))
-                found.append(np.stack([ids[u[keep]], ids[v[keep]]]))
-        pairs = np.concatenate(found, 1)
-        return pa.table({"a": pairs.min(0), "b": pairs.max(0)})
+        found: list[tuple[int, int]] = []
+        for i in p:
+            few, many = np.minimum(n[i], n[q]), np.maximum(n[i], n[q])
+            mate = q[(component[i] != component[q]) & (few >= t * many)]
+            if not len(mate):
+                continue
+            near = estimate(sketch[i], sketch[mate])
+            some = near >= t - 5 * np.sqrt(t * (1 - t) / np.minimum(np.minimum(n[i], n[mate]), REGISTERS))
+            # the nearest first: a link settles all pairs of its two components
+            for j in mate[some][np.argsort(-near[some], kind="stable")]:
+                if component[i] != component[j] and linked(sets[i], sets[j], threshold):
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    component[component == component[j]] = component[i]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of documents whose full sets reach the threshold. Texts of documents in a pair alone are moved."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = having(docs.selectExpr("cast(doc_id as long) doc_id", "text"), ids, ["doc_id"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, found in shingle_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "hashes"])
-
-    full = stored(texts.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    """Pairs (a, b) of documents whose full sets reach the threshold."""
+    full = _sets(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"))
     side = lambda x: full.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "ha", "hb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                inter = int((q[at] == p).sum())
-                keep.append(100 * inter >= threshold * (len(p) + len(q) - inter))
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
@@ -232,16 +251,15 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # first one pair for each document: with copies by the thousand that joins most of them
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     edges = stored(_confirmed(nearest, docs, threshold), "edges")
-    for again in range(2):
-        joined = components(edges)
-        label = lambda x: joined.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-        if again:
-            pairs = stored(_in_blocks(large, joined, classes), "pairs")
-        apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        apart = stored(apart, "apart")
-        if not apart.isEmpty():
-            edges = stored(edges.unionByName(_confirmed(apart, docs, threshold)), "edges")
     joined = components(edges)
+    label = lambda x: joined.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    apart = stored(pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "apart")
+    if not apart.isEmpty():
+        edges = stored(edges.unionByName(_confirmed(apart, docs, threshold)), "edges")
+        joined = components(edges)
+    more = stored(_in_blocks(large, joined, docs, threshold), "edges")
+    if not more.isEmpty():
+        joined = components(edges.unionByName(more))
     named = classes.join(joined, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component_id"))
     # a class of a third of all documents is one key here: its rows are split by Spark's skew handling
     found = base.join(named.hint("merge"), ["k1", "k2", "n"], "left")
