@@ -198,6 +198,8 @@ def _in_blocks(large: DataFrame, joined: DataFrame, docs: DataFrame, threshold:
         component = np.unique(group.column("component").to_numpy(), return_inverse=True)[1].ravel()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
         sketch, n = registers(sets), np.array([len(x) for x in sets])
+        keys = band_keys(sketch)
+        band = int(np.argmax(keys[0] == np.uint64(group.column("key")[0].as_py() & (2**64 - 1))))
         p, q = np.flatnonzero(block == group.column("lo")[0].as_py()), np.flatnonzero(block == group.column("hi")[0].as_py())
         found: list[tuple[int, int]] = []
         for i in p:
@@ -207,6 +209,8 @@ def _in_blocks(large: DataFrame, joined: DataFrame, docs: DataFrame, threshold:
                 continue
             near = estimate(sketch[i], sketch[mate])
             some = near >= t - 5 * np.sqrt(t * (1 - t) / np.minimum(np.minimum(n[i], n[mate]), REGISTERS))
+            # pairs that share an earlier band have been compared in its bucket
+            some[some] &= ~(keys[i, :band] == keys[mate[some], :band]).any(1)
             # the nearest first: a link settles all pairs of its two components
             for j in mate[some][np.argsort(-near[some], kind="stable")]:
                 if component[i] != component[j] and linked(sets[i], sets[j], threshold):
