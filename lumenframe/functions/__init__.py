@@ -69,8 +69,3 @@ def cube_face(x: str, y: str, z: str) -> str:
 
 def bcd(n: str) -> str:
     return f"(({n} - {n} % 10) / 10 * 16 + {n} % 10)"
-
-
-def mul32(a: str, b: str) -> str:
-    """Product modulo 2**32 of numbers below it, within signed 64 bits."""
-    return f"((({a}) & 65535) * ({b}) + (((shiftright({a}, 16) * ({b})) & 65535) * 65536)) & 4294967295"

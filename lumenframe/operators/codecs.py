@@ -1,4 +1,4 @@
-"""Chunk codecs over numpy: none, run coding, zlib by line or block, 24-bit floats, and blocks of 4 x 4 halves.
+"""Chunk codecs over numpy: none, run coding, zlib by line or block, wavelets, 24-bit floats, and blocks of 4 x 4 halves.
 
 Two byte orders. In `native` files bytes are delta coded first and split into even and odd ones after (run coding takes
 no split), a run is a negative count, and a deep chunk's counts run on over its lines, its samples by pixel. In
@@ -9,14 +9,17 @@ payload as long as its data stands for itself.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
 
+from lumenframe.operators import piz
+
 UINT, HALF, FLOAT = 0, 1, 2
 DTYPES = {UINT: np.dtype("<u4"), HALF: np.dtype("<f2"), FLOAT: np.dtype("<f4")}
-NONE, RLE, ZIPS, ZIP, PXR24, B44, B44A = 0, 1, 2, 3, 5, 6, 7
-SUPPORTED = (NONE, RLE, ZIPS, ZIP, PXR24, B44, B44A)
+NONE, RLE, ZIPS, ZIP, PIZ, PXR24, B44, B44A = 0, 1, 2, 3, 4, 5, 6, 7
+SUPPORTED = (NONE, RLE, ZIPS, ZIP, PIZ, PXR24, B44, B44A)
 
 
 class CorruptChunk(ValueError):
@@ -246,6 +249,17 @@ def _b44_decode(packed: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(p[y].tobytes() for y in range(height) for p in planes)
 
 
+def _piz_encode(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """Lines of several channels as planes of 16-bit words, two a value of 32 bits."""
+    return piz.encode([p.view("<u2").reshape(p.shape[0], p.shape[1], -1) for _, p in _planes(data, runs)])
+
+
+def _piz_decode(packed: bytes, runs: list[tuple[int, int]]) -> bytes:
+    height = _height(runs)
+    planes = piz.decode(packed, [(height, w, DTYPES[kind].itemsize // 2) for kind, w in runs[: len(runs) // height]])
+    return b"".join(p[y].astype("<u2").tobytes() for y in range(height) for p in planes)
+
+
 def encode(data: bytes, codec: int, runs: list[tuple[int, int]] | None = None, layout: str = "native", level: int = 6) -> bytes:
     """Packs a chunk. runs: (pixel type, values) of each line and channel, which only 24-bit floats need."""
     if codec not in SUPPORTED:
@@ -255,6 +269,8 @@ def encode(data: bytes, codec: int, runs: list[tuple[int, int]] | None = None, l
         return data
     if codec == PXR24 and runs is not None:
         packed = _pxr24_encode(data, runs, level)
+    elif codec == PIZ:
+        packed = _piz_encode(data, runs)
     elif codec in (B44, B44A):
         packed = _b44_encode(data, runs, codec == B44A)
     elif codec == RLE:
@@ -277,20 +293,17 @@ def decode(packed: bytes, size: int, codec: int, runs: list[tuple[int, int]] | N
         try:
             if codec in (B44, B44A):
                 data = _b44_decode(packed, runs)
+            elif codec == PIZ:
+                data = _piz_decode(packed, runs)
             elif codec == PXR24 and runs is not None:
                 data = _pxr24_decode(packed, runs)
             else:
                 raw = np.frombuffer(zlib.decompress(packed), np.uint8)
                 data = (delta_decode(unsplit(raw)) if layout == "native" else unsplit(delta_decode(raw, 128))).tobytes()
-        except zlib.error as error:
+        except CorruptChunk:
+            raise
+        except (zlib.error, ValueError, struct.error) as error:
             raise CorruptChunk(str(error)) from error
     if len(data) != size:
         raise CorruptChunk(f"{len(data)} bytes for {size}")
     return data
-
-
-def zlib_flevel(packed: bytes) -> int | None:
-    """Bits 6 and 7 of a valid zlib header's second byte, else None."""
-    if len(packed) < 2 or packed[0] & 15 != 8 or (packed[0] * 256 + packed[1]) % 31:
-        return None
-    return packed[1] >> 6

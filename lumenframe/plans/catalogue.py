@@ -76,7 +76,7 @@ def fold(name: str, source: str, key: str = "", keyout: str = "") -> None:
 
 fold("agg1_deep_over", "deep")
 fold("agg2_deep_over_extra", "deep", "round(sum(z), 4) AS zsum,", "zsum,")
-fold("agg3_volumetric_over", "(SELECT * FROM deep WHERE zback <> z) v")
+fold("agg3_volumetric_over", "deep")
 fold("agg4_deep_scanline_over", "(SELECT * FROM deep WHERE y BETWEEN 10 AND 40) v")
 fold("agg5_deep_tile_over", "(SELECT * FROM deep WHERE x BETWEEN 16 AND 31 AND y BETWEEN 16 AND 47) v")
 add("agg6_sample_counts", "WITH c AS (SELECT y, x, count(*) AS n FROM deep GROUP BY y, x) SELECT y, cast(sum(n) as bigint) AS total, max(n) AS most, count(*) AS pixels FROM c GROUP BY y")
@@ -100,7 +100,28 @@ WITH o AS (SELECT {unnest} AS d), m AS (SELECT max(y) AS top FROM plane),
 k AS (SELECT y {idiv} 2 - p.d AS y2, x {idiv} 2 - q.d AS x2, v, (CASE WHEN y % 2 = 0 THEN 0.5 ELSE 1.0 END) * (CASE WHEN x % 2 = 0 THEN 0.5 ELSE 1.0 END) AS w FROM plane CROSS JOIN o p CROSS JOIN o q WHERE (p.d = 0 OR y % 2 = 0) AND (q.d = 0 OR x % 2 = 0))
 SELECT y2, x2, round(sum(v * w) / sum(w), 5) + 0 AS v FROM k CROSS JOIN m WHERE y2 >= 0 AND x2 >= 0 AND y2 < (top + 1) {idiv} 2 AND x2 < 32 GROUP BY y2, x2""".strip().replace("\n", " "), spark={"unnest": "explode(array(0, 1))"}, duckw={"unnest": "unnest([0, 1])"})
 add("agg10_axis_downsample", "SELECT y, x {idiv} 2 AS x2, round(avg(v), 6) + 0 AS v FROM plane GROUP BY y, x {idiv} 2")
-add("agg11_mipmap_pyramid", "WITH l AS (SELECT {levels} AS l) SELECT l, y {idiv} cast(pow(2, l) as bigint) AS yl, x {idiv} cast(pow(2, l) as bigint) AS xl, round(avg(v), 5) + 0 AS v FROM plane CROSS JOIN l GROUP BY 1, 2, 3", spark={"levels": "explode(sequence(0, 6))"}, duckw={"levels": "unnest(range(7))"})
+_MOST_LEVELS = 20
+
+
+def cascade(levels: int, along: str = "yx") -> str:
+    """Levels 0 to levels - 1, each a 2 x 2 mean of the one before; sizes are halved and rounded down to 1 at least, and end with 1 x 1."""
+    size = lambda n, k: f"greatest(1, cast(floor({n} / {float(1 << k)}) as bigint))"
+    heads = ["m AS (SELECT max(y) + 1 AS h, 64 AS w FROM plane)", "l0 AS (SELECT y, x, v FROM plane)"]
+    for k in range(1, levels):
+        heads.append(f"l{k} AS (SELECT y {{idiv}} 2 AS y, x {{idiv}} 2 AS x, avg(v) AS v FROM l{k - 1} CROSS JOIN m WHERE greatest(h, w) >= {1 << k} AND y {{idiv}} 2 < {size('h', k)} AND x {{idiv}} 2 < {size('w', k)} GROUP BY y {{idiv}} 2, x {{idiv}} 2)")
+    return f"WITH {', '.join(heads)} " + " UNION ALL ".join(f"SELECT {k} AS l, y AS yl, x AS xl, round(v, 5) + 0 AS v FROM l{k}" for k in range(levels))
+
+
+def mipmap(session: SparkSession, sf_dir: str) -> DataFrame:
+    """As many levels as the image has; its height is asked for first. A level's exchange serves both the level and the next one."""
+    height = session.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("max(vec_id) + 1 AS h").first()["h"] or 1
+    add("_mipmap", cascade(max(height, 64).bit_length()))
+    ORACLES.pop("_mipmap")
+    return QUERIES.pop("_mipmap")(session, sf_dir)
+
+
+QUERIES["agg11_mipmap_pyramid"] = mipmap
+ORACLES["agg11_mipmap_pyramid"] = _with(cascade(_MOST_LEVELS), DUCK)
 add("agg12_ripmap_pyramid", "WITH l AS (SELECT {levels} AS l) SELECT i.l AS ly, j.l AS lx, y {idiv} cast(pow(2, i.l) as bigint) AS yl, x {idiv} cast(pow(2, j.l) as bigint) AS xl, round(avg(v), 5) + 0 AS v FROM plane CROSS JOIN l i CROSS JOIN l j GROUP BY 1, 2, 3, 4", spark={"levels": "explode(sequence(0, 3))"}, duckw={"levels": "unnest(range(4))"})
 add("agg14_chroma_average", f"SELECT y {{idiv}} 2 AS y2, x {{idiv}} 2 AS x2, round(avg(r - {fn.luma('r', 'g', 'b')}), 6) + 0 AS ry, round(avg(b - {fn.luma('r', 'g', 'b')}), 6) + 0 AS by_ FROM rgb GROUP BY y {{idiv}} 2, x {{idiv}} 2")
 add("agg20_bounding_union", "SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS n FROM windows")
@@ -112,10 +133,19 @@ add("win2_delta_decode", "WITH e AS (SELECT doc_id, pos, ((b - coalesce(lag(b) O
 add("win4_run_segments", "WITH m AS (SELECT doc_id, pos, b, CASE WHEN lag(b) OVER (PARTITION BY doc_id ORDER BY pos) = b THEN 0 ELSE 1 END AS new FROM bytes), g AS (SELECT doc_id, b, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m), c AS (SELECT doc_id, run, count(*) AS n FROM g GROUP BY doc_id, run) SELECT doc_id, count(*) AS runs, cast(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) as bigint) AS long_runs FROM c GROUP BY doc_id")
 add("win5_haar", "WITH p AS (SELECT y, x {idiv} 2 AS k, max(CASE WHEN x % 2 = 0 THEN cast(floor(v * 4096) as bigint) END) AS a, max(CASE WHEN x % 2 = 1 THEN cast(floor(v * 4096) as bigint) END) AS b FROM plane GROUP BY y, x {idiv} 2) SELECT y, k, cast(floor((a + b) / 2.0) as bigint) AS average, a - b AS difference FROM p")
 add("win6_deinterleave", "SELECT doc_id, pos, b, CASE WHEN pos % 2 = 0 THEN pos {idiv} 2 ELSE pos {idiv} 2 + (max(pos) OVER (PARTITION BY doc_id) + 2) {idiv} 2 END AS place FROM bytes")
-add("win8_error_cap", "WITH e AS (SELECT src, y, x, s, z, row_number() OVER (PARTITION BY src ORDER BY y, x, s, z, zback, a, r, g, b) AS k FROM deep WHERE a > 0.95) SELECT src, y, x, s, z, k FROM e WHERE k <= 5")
+# the first five of each source by place, and a line that counts the rest; numbers come from counts a line of pixels, so no task sorts a source
+add("win8_error_cap", """
+WITH e AS (SELECT src, y, x, s, z, row_number() OVER (PARTITION BY src, y ORDER BY x, s, z, zback, a, r, g, b) AS k FROM deep WHERE a > 0.95), c AS (SELECT src, y, max(k) AS n FROM e GROUP BY src, y),
+f AS (SELECT src, y, n, sum(n) OVER (PARTITION BY src ORDER BY y) - n AS before_ FROM c)
+SELECT e.src AS src, e.y AS y, e.x AS x, e.s AS s, e.z AS z, cast(e.k + f.before_ as bigint) AS k, cast(NULL as bigint) AS more FROM e JOIN f ON f.src = e.src AND f.y = e.y WHERE e.k <= 5 AND e.k + f.before_ <= 5
+UNION ALL SELECT src, NULL, NULL, NULL, NULL, NULL, cast(sum(n) - 5 as bigint) FROM c GROUP BY src HAVING sum(n) > 5""".strip().replace("\n", " "))
 # --- joins, sets and comparison ---------------------------------------------------------------------------------------
 add("jn1_image_compare", "WITH a AS (SELECT y, x, v FROM plane), b AS (SELECT y, x, v + CASE WHEN x % 7 = 0 THEN 0.01 ELSE 0 END AS v FROM plane) SELECT a.x, count(*) AS n, cast(sum(CASE WHEN abs(a.v - b.v) > 0.001 THEN 1 ELSE 0 END) as bigint) AS differ, round(max(abs(a.v - b.v)), 6) + 0 AS most FROM a JOIN b ON a.y = b.y AND a.x = b.x GROUP BY a.x")
-add("jn5_chroma_upsample", "WITH c AS (SELECT y {idiv} 2 AS y2, x {idiv} 2 AS x2, avg(v) AS v FROM plane GROUP BY y {idiv} 2, x {idiv} 2), q AS (SELECT p.y, p.x, c.v FROM plane p JOIN c ON c.y2 = p.y {idiv} 2 AND c.x2 = p.x {idiv} 2) SELECT y, x, round(v, 6) + 0 AS v FROM q")
+# weights of a half or of nothing beyond the sample at hand, the last sample standing for those past the edge
+add("jn5_chroma_upsample", """
+WITH c AS (SELECT y {idiv} 2 AS y2, x {idiv} 2 AS x2, avg(v) AS v FROM plane GROUP BY y {idiv} 2, x {idiv} 2), m AS (SELECT max(y2) AS bottom, max(x2) AS last FROM c),
+n AS (SELECT y, x, least(bottom, y {idiv} 2 + j) AS cy, least(last, x {idiv} 2 + i) AS cx, (CASE WHEN i = 0 THEN 1 - (x % 2) * cast(0.5 as double) ELSE cast(0.5 as double) END) * (CASE WHEN j = 0 THEN 1 - (y % 2) * cast(0.5 as double) ELSE cast(0.5 as double) END) AS w FROM plane CROSS JOIN m CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) WHERE (i = 0 OR x % 2 = 1) AND (j = 0 OR y % 2 = 1))
+SELECT n.y AS y, n.x AS x, round(sum(w * c.v), 6) + 0 AS v FROM n JOIN c ON c.y2 = n.cy AND c.x2 = n.cx GROUP BY n.y, n.x""".strip().replace("\n", " "))
 add("jn3_union_window", "WITH u AS (SELECT min(minx) AS ox, min(miny) AS oy FROM windows) SELECT o_custkey, minx - ox AS dx, miny - oy AS dy, maxx - minx + 1 AS width, maxy - miny + 1 AS height FROM windows CROSS JOIN u")
 add("jn7_id_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, v1, v2, l_quantity, l_extendedprice FROM lineitem LEFT JOIN manifest ON id = l_partkey")
 add("jn6_hemisphere_blur", "WITH s AS (SELECT vec_id, dx, dy, dz, sqrt(dx * dx + dy * dy + dz * dz) AS n FROM dirs), q AS (SELECT a.vec_id, (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (a.n * b.n) AS c, b.n AS v FROM s a JOIN s b ON a.dx * b.dx + a.dy * b.dy + a.dz * b.dz > 0) SELECT vec_id, count(*) AS n, round(sum(c * v) / sum(c), 6) + 0 AS v FROM q GROUP BY vec_id")
@@ -126,16 +156,24 @@ add("set4_channel_difference", "WITH a AS (SELECT name FROM channels WHERE name
 # --- names, filters and metadata --------------------------------------------------------------------------------------
 _PARTS = {"layer": "regexp_extract(name, '^(.*)[.][^.]*$', 1)", "base": "regexp_extract(name, '([^.]*)$', 1)", "view": "regexp_extract(name, '[.]([^.]*)[.][^.]*$', 1)"}
 scalar("prj6_layer_split", "channels", "name", layer=_PARTS["layer"], base=_PARTS["base"])
-scalar("prj7_view_parse", "channels", "name", layer="CASE WHEN regexp_extract(name, '[.]([^.]*)[.][^.]*$', 1) IN ('left', 'right') THEN regexp_extract(name, '^(.*)[.][^.]*[.][^.]*$', 1) ELSE regexp_extract(name, '^(.*)[.][^.]*$', 1) END", view="CASE WHEN regexp_extract(name, '[.]([^.]*)[.][^.]*$', 1) IN ('left', 'right') THEN regexp_extract(name, '[.]([^.]*)[.][^.]*$', 1) ELSE '' END", channel=_PARTS["base"])
-scalar("prj8_view_build", "channels", "name", built=f"concat_ws('.', nullif({_PARTS['view']}, ''), nullif({_PARTS['base']}, ''))")
-scalar("prj9_view_insert", "channels", "name", inserted=f"concat({_PARTS['layer']}, '.left.', {_PARTS['base']})")
-scalar("prj13_part_name", "names", "name", part="replace(replace(replace(name, ' ', '_'), '/', '_'), ':', '_')")
+#: Names of three components, of their last two and of their last one alone; the views of such a file are left and right, left by default.
+_NAMES = "(SELECT name FROM channels UNION SELECT regexp_extract(name, '([^.]*[.][^.]*)$', 1) AS name FROM channels UNION SELECT regexp_extract(name, '([^.]*)$', 1) AS name FROM channels) q"
+_LEAD = "regexp_extract(name, '^(.*)[.][^.]*$', 1)"
+_IS_VIEW = f"regexp_extract({_LEAD}, '([^.]*)$', 1) IN ('left', 'right')"
+_VIEW = f"CASE WHEN {_IS_VIEW} THEN regexp_extract({_LEAD}, '([^.]*)$', 1) ELSE '' END"
+_LAYER = f"CASE WHEN {_IS_VIEW} THEN regexp_extract({_LEAD}, '^(.*)[.][^.]*$', 1) ELSE {_LEAD} END"
+scalar("prj7_view_parse", _NAMES, "name", layer=_LAYER, view=_VIEW, channel=_PARTS["base"])
+scalar("prj8_view_build", f"(SELECT name, {_LAYER} AS layer, {_VIEW} AS eye, {_PARTS['base']} AS channel FROM {_NAMES}) p", "name", built="concat_ws('.', nullif(layer, ''), nullif(eye, ''), channel)", layered="concat_ws('.', nullif(layer, ''), channel)")
+scalar("prj9_view_insert", _NAMES, "name", left_="CASE WHEN name LIKE '%.%' THEN concat(regexp_extract(name, '^(.*)[.][^.]*$', 1), '.left.', regexp_extract(name, '([^.]*)$', 1)) ELSE name END", right_="CASE WHEN name LIKE '%.%' THEN concat(regexp_extract(name, '^(.*)[.][^.]*$', 1), '.right.', regexp_extract(name, '([^.]*)$', 1)) ELSE concat('right.', name) END")
+#: File names with a frame number and an extension; both go, then nine characters that file names may not hold.
+_FILE = "regexp_replace(regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', ''), '[.][0-9]+$', '')"
+add("prj13_part_name", f"SELECT path, {_FILE} AS derived, translate(name, '/:*?<>|{chr(92) * 2}\"', '_________') AS safe FROM (SELECT name, concat('shots/', name, CASE WHEN length(name) % 2 = 0 THEN '.0042.exr' ELSE '.beauty.exr' END) AS path FROM names) q", f"SELECT path, {_FILE} AS derived, translate(name, '/:*?<>|{chr(92)}\"', '_________') AS safe FROM (SELECT name, concat('shots/', name, CASE WHEN length(name) % 2 = 0 THEN '.0042.exr' ELSE '.beauty.exr' END) AS path FROM names) q")
 add("prj11_channel_sizes", f"SELECT {_PARTS['layer']} AS layer, count(*) AS n, cast(sum(CASE WHEN name LIKE '%.A' THEN 4 ELSE 2 END) as bigint) AS bytes FROM channels GROUP BY {_PARTS['layer']}")
 add("prj12_code_names", "SELECT c AS code, n AS name, l AS lines FROM (VALUES " + ", ".join(f"({i}, '{n}', {k})" for i, (n, k) in enumerate(zip(fn.CODECS, fn.LINES_PER_CHUNK, strict=True))) + ") t(c, n, l)")
 add("flt1_box_contains", "SELECT o_custkey, 320 BETWEEN minx AND maxx AND 12 BETWEEN miny AND maxy AS inside, minx > maxx OR miny > maxy AS empty, greatest(0, maxx - minx + 1) * greatest(0, maxy - miny + 1) AS area FROM windows")
 add("flt2_channel_presence", f"SELECT {_PARTS['layer']} AS layer, max(CASE WHEN name LIKE '%.R' THEN 1 ELSE 0 END) + max(CASE WHEN name LIKE '%.G' THEN 1 ELSE 0 END) + max(CASE WHEN name LIKE '%.B' THEN 1 ELSE 0 END) = 3 AS has_rgb, max(CASE WHEN name LIKE '%.A' THEN 1 ELSE 0 END) = 1 AS has_alpha FROM channels GROUP BY {_PARTS['layer']}")
 add("flt3_channels_in_layer", f"SELECT name FROM channels WHERE {_PARTS['layer']} = 'urgent.left'")
-add("flt4_channels_for_view", f"SELECT name, {_PARTS['base']} AS base FROM channels WHERE {_PARTS['view']} = 'left'")
+add("flt4_channels_for_view", f"SELECT wanted, name, {_PARTS['base']} AS base FROM (SELECT name, {_VIEW} AS eye FROM {_NAMES}) p CROSS JOIN (VALUES ('left'), ('right')) w(wanted) WHERE eye = wanted OR (eye = '' AND wanted = 'left')")
 add("flt7_codec_predicates", "SELECT c AS code, n AS name, n IN ('" + "', '".join(fn.LOSSY_CODECS) + "') AS lossy, n IN ('" + "', '".join(fn.DEEP_CODECS) + "') AS deep_ok FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(fn.CODECS)) + ") t(c, n)")
 add("flt17_drop_frame", "SELECT event_id, (event_id % 4) * 6000 + 18000 AS num, event_id % 2 + 1000 AS den, event_id % 2 + 1000 = 1001 AND (event_id % 4) * 6000 + 18000 IN (24000, 30000, 60000) AS drop_frame FROM events")
 add("agg18_layer_grouping", f"SELECT {_PARTS['layer']} AS layer, count(*) AS n, min(name) AS first, max(name) AS last FROM channels GROUP BY {_PARTS['layer']}")

@@ -5,11 +5,13 @@ The SQL counterpart states what a round trip must give, so codecs, containers an
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import codecs, manifests
+from lumenframe.operators import codecs, manifests, piz
 from lumenframe.plans import catalogue
 from lumenframe.sources import pixfile, pixsink
 from lumenframe.sources.fixtures import DUCK, SPARK
@@ -62,6 +64,7 @@ def _round_trip(codec: int, tile: tuple[int, int] | None = None, layout: str = "
 
 for _name, _codec in {"cod1_none_file": codecs.NONE, "cod2_rle_file": codecs.RLE, "cod3_zips_file": codecs.ZIPS, "snk4_scanline_file": codecs.ZIP}.items():
     _add(_name, _round_trip(_codec), _SAME)
+_add("cod4_piz_file", _round_trip(codecs.PIZ), _SAME)
 _add("cod6_pxr24_file", _round_trip(codecs.PXR24), _SHORT)
 _add("cod3_zip_interchange_file", _round_trip(codecs.ZIP, layout="interchange"), _SAME)
 _add("snk5_tile_file", _round_trip(codecs.ZIP, (16, 16)), _SAME)
@@ -82,6 +85,106 @@ def _half_oracle() -> str:
 _add("src23_half_channel", _half_channel, _half_oracle())
 
 
+#: Planes whose blocks of 4 x 4 hold one value each: those the block codecs keep exactly.
+_FLAT = "SELECT concat('im', cast(y {idiv} 64 as string)) AS image, 0 AS part, y, x, first_value(v) OVER (PARTITION BY y {idiv} 4, x {idiv} 4 ORDER BY y, x) AS v FROM plane"
+
+
+def _blocks(codec: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        form = pixsink.Layout({"v": codecs.HALF}, codec)
+        made = pixsink.assemble(pixsink.pack_pixels(_view(spark, sf_dir, _FLAT), form), form).withColumnRenamed("image", "path")
+        return pixfile.pixels(made, ["v"]).select(F.col("path").alias("image"), "y", "x", "v")
+
+    return query
+
+
+def _flat_oracle() -> str:
+    from lumenframe.functions import half
+
+    return f"WITH f AS (SELECT {_IMAGE} AS image, y, x, first_value(v) OVER (PARTITION BY y {{idiv}} 4, x {{idiv}} 4 ORDER BY y, x) AS v FROM plane) SELECT image, y, x, {half('v')} AS v FROM f"
+
+
+_add("cod7_b44_file", _blocks(codecs.B44), _flat_oracle())
+_add("cod7_b44a_file", _blocks(codecs.B44A), _flat_oracle())
+_CODED = "SELECT cast(y {idiv} 64 as bigint) AS image, y, x, cast(((floor(v * 4096) % 65536) + 65536) % 65536 as int) AS s FROM plane"
+
+
+def _huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each image through the Huffman coder and back."""
+    ship(spark)
+
+    def both(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x"])
+        symbols = rows["s"].to_numpy()
+        return rows.assign(s=piz.huffman_decode(piz.huffman_encode(symbols), len(symbols)).astype("int32"))
+
+    return _view(spark, sf_dir, _CODED).groupBy("image").applyInPandas(both, "image bigint, y bigint, x bigint, s int")
+
+
+_add("cod5_huffman", _huffman, _CODED)
+
+
+def _wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image's 14- and 16-bit words through the 2-D wavelet and back, with the mean that the coarsest level leaves at the origin."""
+    ship(spark)
+
+    def both(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x"])
+        plane = rows["s"].to_numpy().reshape(rows["y"].nunique(), -1)
+        wide = piz.wavelet_decode(piz.wavelet_encode(plane, 65535), 65535)
+        small = piz.wavelet_decode(piz.wavelet_encode(plane & 0x3FFF, 0x3FFF), 0x3FFF)
+        return rows.assign(s=wide.ravel().astype("int32"), small=small.ravel().astype("int32"))
+
+    return _view(spark, sf_dir, _CODED).groupBy("image").applyInPandas(both, "image bigint, y bigint, x bigint, s int, small int")
+
+
+_add("win5_wavelet_2d", _wavelet, f"SELECT image, y, x, s, s % 16384 AS small FROM ({_CODED}) q")
+_RGB = "SELECT concat('im', cast(y {idiv} 64 as string)) AS image, 0 AS part, y, x, r AS red, g, b AS B, (x % 5) / cast(4 as double) AS Alpha FROM rgb"
+
+
+def _rgba(alpha: bool):
+    """Written under other names than R, G, B and A, with and without an alpha; read by any name."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        form = pixsink.Layout({"red": codecs.HALF, "g": codecs.HALF, "B": codecs.HALF} | ({"Alpha": codecs.HALF} if alpha else {}), codecs.ZIP)
+        made = pixsink.assemble(pixsink.pack_pixels(_view(spark, sf_dir, _RGB), form), form).withColumnRenamed("image", "path")
+        return pixfile.rgba(made).select(F.col("path").alias("image"), "y", "x", "r", "g", "b", "a")
+
+    return query
+
+
+def _rgba_oracle(alpha: str) -> str:
+    from lumenframe.functions import half
+
+    return f"SELECT {_IMAGE} AS image, y, x, {half('r')} AS r, {half('g')} AS g, {half('b')} AS b, {alpha} AS a FROM rgb"
+
+
+_add("src16_rgba_scan", _rgba(False), _rgba_oracle("1.0::double"))
+_add("snk9_rgba_file", _rgba(True), _rgba_oracle("(x % 5) / 4.0::double"))
+_PREVIEW = struct.pack("<2I", 4, 3) + bytes(i * 7 % 256 for i in range(48))
+
+
+def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = pixsink.Layout({"v": codecs.FLOAT}, codecs.ZIP, attributes={"preview": ("preview", _PREVIEW)})
+    return pixfile.previews(plane_files(spark, sf_dir, form)).withColumnRenamed("path", "image")
+
+
+_add("src22_preview", _previews, f"SELECT image, 4 AS width, 3 AS height, k {{idiv}} 4 AS y, k % 4 AS x, (k * 28) % 256 AS r, (k * 28 + 7) % 256 AS g, (k * 28 + 14) % 256 AS b, (k * 28 + 21) % 256 AS a FROM (SELECT DISTINCT {_IMAGE} AS image FROM plane) i CROSS JOIN (SELECT unnest(range(12)) AS k) ks")
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = pixsink.Layout({"v": codecs.FLOAT, "Z": codecs.HALF}, codecs.NONE, (16, 16), attributes={"preview": ("preview", _PREVIEW)})
+    ship(spark)
+    rows = _view(spark, sf_dir, _PLANE).withColumn("Z", F.col("x").cast("double"))
+    made = pixsink.assemble(pixsink.pack_pixels(rows, form), form).withColumnRenamed("image", "path")
+    return pixfile.summaries(made).withColumnRenamed("path", "image").drop("bytes")
+
+
+_add("src24_file_summary", _summaries, f"SELECT {_IMAGE} AS image, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, 0 AS codec, true AS tiled, false AS deep, false AS multipart, 1 AS parts, cast(ceil((max(y) - min(y) + 1) / 16.0) * ceil((max(x) - min(x) + 1) / 16.0) as bigint) AS chunks, 16 AS tile_width, 16 AS tile_height, 'Z,v' AS channels, true AS preview FROM plane GROUP BY {_IMAGE}")
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = pixsink.Layout({"v": codecs.FLOAT}, codecs.ZIP)
     return pixfile.parts(plane_files(spark, sf_dir, form, ["left", "right"])).select(F.col("path").alias("image"), "part", "name", "kind", "codec", "minx", "miny", "maxx", "maxy", "chunks", "multipart")
@@ -118,6 +221,15 @@ _HEX = {"owner": b"nobody".hex().upper(), "odd": "0102", "lineOrder": "00"}
 _add("met9_attribute_round_trip", _attributes, "SELECT name, type, (SELECT count(DISTINCT y {idiv} 64) FROM plane) AS n, value FROM (VALUES " + ", ".join(f"('{n}', '{t}', {repr(_HEX[n]) if n in _HEX else 'NULL'})" for n, t in _NAMES.items()) + ") a(name, type, value)")
 
 
+def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = pixsink.Layout({"v": codecs.FLOAT}, codecs.ZIP, (16, 16), attributes={"owner": ("string", b"nobody"), "odd": ("newtype", b"\x01\x02")})
+    found = pixfile.copied_attributes(plane_files(spark, sf_dir, form))
+    return found.select(F.col("path").alias("image"), "name", "type", F.hex("value").alias("value"))
+
+
+_add("prj10_copied_metadata", _copied, f"SELECT image, name, type, value FROM (SELECT DISTINCT {_IMAGE} AS image FROM plane) i CROSS JOIN (VALUES ('byteLayout', 'string', '{b'native'.hex().upper()}'), ('owner', 'string', '{b'nobody'.hex().upper()}'), ('odd', 'newtype', '0102')) a(name, type, value)")
+
+
 def _deep(codec: int, tile: tuple[int, int] | None = None, layout: str = "native"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         form = pixsink.Layout({c: codecs.FLOAT for c in ("a", "r", "z")}, codec, tile, layout)

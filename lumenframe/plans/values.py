@@ -37,7 +37,7 @@ add("sc4_half_bytes", _HALF + f"SELECT y, x, h % 256 AS low, h {{idiv}} 256 AS h
 add("flt14_half_classes", _HALF + "SELECT y, x, e = 31 AND m > 0 AS is_nan, e = 31 AND m = 0 AS is_inf, h = 31744 AS is_pos_inf, h = 64512 AS is_neg_inf, e = 0 AND m = 0 AS is_zero, e > 0 AND e < 31 AS is_normal, e = 0 AND m > 0 AS is_subnormal, e < 31 AS is_finite, s = 1 AS is_negative FROM p")
 add("flt15_half_compare", _HALF + f", v AS (SELECT y, x, CASE WHEN e = 31 AND m > 0 THEN NULL WHEN e = 31 THEN CASE WHEN s = 1 THEN -1 ELSE 1 END * cast(100000 as double) ELSE {_WIDE} END AS a, cast(floor(x - 32) as double) AS b FROM p) SELECT y, x, coalesce(a < b, false) AS lt, coalesce(a <= b, false) AS le, coalesce(a > b, false) AS gt, coalesce(a >= b, false) AS ge, coalesce(a = b, false) AS eq FROM v")
 # 15 bits of mantissa, halves away from zero; e is the exponent, corrected where the logarithm was a last bit off
-add("sc16_float24", "WITH a AS (SELECT y, x, v, floor(log2(abs(v))) AS g FROM plane WHERE v <> 0), e AS (SELECT y, x, v, CASE WHEN pow(cast(2 as double), g) > abs(v) THEN g - 1 WHEN pow(cast(2 as double), g + 1) <= abs(v) THEN g + 1 ELSE g END AS e FROM a) SELECT y, x, floor(abs(v) * pow(cast(2 as double), 15 - e) + 0.5) * pow(cast(2 as double), e - 15) * sign(v) AS v FROM e")
+add("sc16_float24", "WITH a AS (SELECT y, x, v, floor(log2(abs(v))) AS g FROM plane WHERE v <> 0), e AS (SELECT y, x, v, CASE WHEN pow(cast(2 as double), g) > abs(v) THEN g - 1 WHEN pow(cast(2 as double), g + 1) <= abs(v) THEN g + 1 ELSE g END AS e FROM a) SELECT y, x, floor(abs(v) * pow(cast(2 as double), 15 - e) + 0.5) * pow(cast(2 as double), e - 15) * sign(v) AS v FROM e UNION ALL SELECT y, x, cast(0 as double) AS v FROM plane WHERE v = 0")
 scalar("sc23_wrapping_math", "bytes", "doc_id, pos", add8="(b + 200) % 256", sub8="(b - 200 + 256) % 256", mul16="(b * 40503) % 65536", add32="(b + 4294967290) % 4294967296")
 # --- colour -----------------------------------------------------------------------------------------------------------
 _Y = fn.luma("r", "g", "b")
@@ -74,6 +74,8 @@ add("win7_zigzag", f"SELECT y, k, v FROM plane JOIN {_ZIG} ON place = x")
 _N = "(VALUES " + ", ".join(f"({i})" for i in range(8)) + ")"
 _C = lambda k, n: f"(CASE WHEN {k} = 0 THEN sqrt(cast(0.125 as double)) ELSE cast(0.5 as double) END * cos((2 * {n} + 1) * {k} * {_PI} / 16))"
 add("sc18_dct_forward", f"WITH r AS (SELECT y, x {{idiv}} 8 AS i, q.u, sum(v * {_C('q.u', '(x % 8)')}) AS s FROM plane CROSS JOIN {_N} q(u) GROUP BY y, x {{idiv}} 8, q.u) SELECT y, q.w, r.u, round(sum(s * {_C('q.w', 'i')}), 5) + 0 AS c FROM r CROSS JOIN {_N} q(w) GROUP BY y, q.w, r.u")
+# back again: coefficients by column, then by row, give the 8 x 8 values that they came from
+add("sc18_dct_inverse", f"WITH r AS (SELECT y {{idiv}} 8 AS i, x {{idiv}} 8 AS j, y % 8 AS m, q.u, sum(v * {_C('q.u', '(x % 8)')}) AS s FROM plane CROSS JOIN {_N} q(u) GROUP BY y {{idiv}} 8, x {{idiv}} 8, y % 8, q.u), f AS (SELECT i, j, u, q.w, sum(s * {_C('q.w', 'm')}) AS c FROM r CROSS JOIN {_N} q(w) GROUP BY i, j, u, q.w), b AS (SELECT i, j, u, q.m, sum(c * {_C('w', 'q.m')}) AS s FROM f CROSS JOIN {_N} q(m) GROUP BY i, j, u, q.m) SELECT i * 8 + m AS y, j * 8 + q.n AS x, round(sum(s * {_C('u', 'q.n')}), 5) + 0 AS v FROM b CROSS JOIN {_N} q(n) CROSS JOIN (SELECT max(y) AS top FROM plane) t WHERE i * 8 + m <= top GROUP BY i, j, m, q.n", "SELECT y, x, round(v, 5) + 0 AS v FROM plane")
 _L = lambda d: f"(CASE WHEN abs({d}) >= 2 THEN 0 ELSE 2 * sin({_PI} * {d}) * sin({_PI} * {d} / 2) / ({_PI} * {_PI} * {d} * {d}) END)"
 # four taps a side, at half-pixel distances; edges are renormalised. Rows first, so that each pixel is sent four times, not sixteen
 _TAPS = "(VALUES (-1), (0), (1), (2)) k(d)"
@@ -83,8 +85,9 @@ w AS (SELECT y, x2, v, (x + 0.5 - (x2 + 0.5) * 2) AS d FROM t WHERE x2 BETWEEN 0
 g AS (SELECT y {{idiv}} 2 - k.d + 1 AS y2, x2, v, y FROM f CROSS JOIN {_TAPS}), c AS (SELECT y2, x2, v, (y + 0.5 - (y2 + 0.5) * 2) AS d FROM g CROSS JOIN m WHERE y2 >= 0 AND y2 < height {{idiv}} 2)
 SELECT y2, x2, round(sum(v * {_L('d')}) / sum({_L('d')}), 5) + 0 AS v FROM c WHERE abs(d) < 2 GROUP BY y2, x2""".strip().replace("\n", " "))
 # each source pixel goes to the outputs whose footprint [int(start), ceil(end)) holds it: at scales above 1, its own and perhaps a neighbour
+# an image is 21 lines of 21 pixels, the last one those that are left; an output is no larger than its image
 _PW, _SW = 8, 21
-add("agg15_preview", f"WITH s AS (SELECT y % {_SW} AS sy, x AS sx, r, g, b FROM rgb), e AS (SELECT p.i AS py, q.i AS px, r, g, b FROM s JOIN {_N} q(i) ON sx >= floor(q.i * {_SW} / {fn.lit(_PW)}) AND sx < ceil((q.i + 1) * {_SW} / {fn.lit(_PW)}) JOIN {_N} p(i) ON sy >= floor(p.i * {_SW} / {fn.lit(_PW)}) AND sy < ceil((p.i + 1) * {_SW} / {fn.lit(_PW)})), a AS (SELECT py, px, round(avg(r), 9) AS r, round(avg(g), 9) AS g, round(avg(b), 9) AS b FROM e GROUP BY py, px), t AS (SELECT py, px, {fn.tone('r')} AS r, {fn.tone('g')} AS g, {fn.tone('b')} AS b FROM a) SELECT py, px, {fn.to_byte('(' + fn.to_srgb('r') + ')')} AS r, {fn.to_byte('(' + fn.to_srgb('g') + ')')} AS g, {fn.to_byte('(' + fn.to_srgb('b') + ')')} AS b FROM t")
+add("agg15_preview", f"WITH d AS (SELECT y {{idiv}} {_SW} AS image, max(y % {_SW}) + 1 AS h FROM rgb GROUP BY y {{idiv}} {_SW}), s AS (SELECT y {{idiv}} {_SW} AS image, y % {_SW} AS sy, x AS sx, h, least({_PW}, h) AS ph, r, g, b FROM rgb JOIN d ON d.image = y {{idiv}} {_SW}), e AS (SELECT image, p.i AS py, q.i AS px, r, g, b FROM s JOIN {_N} q(i) ON sx >= floor(q.i * {_SW} / {fn.lit(_PW)}) AND sx < ceil((q.i + 1) * {_SW} / {fn.lit(_PW)}) JOIN {_N} p(i) ON p.i < ph AND sy >= floor(p.i * h / cast(ph as double)) AND sy < ceil((p.i + 1) * h / cast(ph as double))), a AS (SELECT image, py, px, round(avg(r), 9) AS r, round(avg(g), 9) AS g, round(avg(b), 9) AS b FROM e GROUP BY image, py, px), t AS (SELECT image, py, px, {fn.tone('r')} AS r, {fn.tone('g')} AS g, {fn.tone('b')} AS b FROM a) SELECT image, py, px, {fn.to_byte('(' + fn.to_srgb('r') + ')')} AS r, {fn.to_byte('(' + fn.to_srgb('g') + ')')} AS g, {fn.to_byte('(' + fn.to_srgb('b') + ')')} AS b FROM t")
 add("agg13_channel_filters", "SELECT y {idiv} 2 AS y2, x {idiv} 2 AS x2, round(avg(r), 6) + 0 AS r_box, round(sum(CASE WHEN x % 2 = 0 THEN g END) / count(CASE WHEN x % 2 = 0 THEN 1 END), 6) + 0 AS g_point, round(max(b), 6) + 0 AS b_most FROM rgb GROUP BY y {idiv} 2, x {idiv} 2")
 add("prj1_channel_projection", "SELECT y, x, r FROM rgb")
 scalar("prj2_type_conversion", "plane", "y, x", as_half=fn.half("v"), as_uint="cast(floor(greatest(0, v)) as bigint)")

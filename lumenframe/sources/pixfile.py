@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import LINES_PER_CHUNK
 from lumenframe.operators import codecs
 
+#: The format's magic number, flag bits and required attributes (fixed values).
 MAGIC = 20000630
 TILED, LONG_NAMES, DEEP, MULTIPART = 0x200, 0x400, 0x800, 0x1000
 REQUIRED = ("channels", "compression", "dataWindow", "displayWindow", "lineOrder", "pixelAspectRatio", "screenWindowCenter", "screenWindowWidth")
@@ -346,9 +347,67 @@ def deep_samples(frame: DataFrame, wanted: list[str], rows: tuple[int, int] | No
 
 
 def summaries(frame: DataFrame) -> DataFrame:
-    """One row a file: parts, channels, chunks, codecs and size."""
-    names = channels(frame).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("channels"))
-    return parts(frame).groupBy("path").agg(F.count("*").alias("parts"), F.sum("chunks").alias("chunks"), F.max("bytes").alias("bytes")).join(names, "path")
+    """One row a file: its first part's size, codec, kind, tile, channels and preview, the number of parts and chunks, its bytes. Headers alone are parsed."""
+
+    def rows(path, content):
+        version, found = parse_file(content)
+        p = found[0]
+        x0, y0, x1, y1 = p.window
+        tile = p.tile or (None, None)
+        yield [[path], [x1 - x0 + 1], [y1 - y0 + 1], [p.codec], [p.tile is not None], [any(q.kind.startswith("deep") for q in found)], [bool(version & MULTIPART)], [len(found)], [sum(len(q.offsets) for q in found)], [tile[0]], [tile[1]], [",".join(sorted(c.name for c in p.channels))], ["preview" in p.attributes], [len(content)]]
+
+    return _mapped(frame, "path string, width int, height int, codec int, tiled boolean, deep boolean, multipart boolean, parts int, chunks bigint, tile_width int, tile_height int, channels string, preview boolean, bytes bigint", rows)
+
+
+#: Attributes that make up a file's structure; copying metadata leaves them out (fixed values).
+STRUCTURAL = ("channels", "compression", "dataWindow", "displayWindow", "lineOrder", "pixelAspectRatio", "screenWindowCenter", "screenWindowWidth", "tiles", "type", "name", "version", "chunkCount")
+
+
+def copied_attributes(frame: DataFrame) -> DataFrame:
+    """Attributes that go along when a header's metadata are copied: all but the structural ones."""
+    return attributes(frame).where(~F.col("name").isin(*STRUCTURAL))
+
+
+def previews(frame: DataFrame) -> DataFrame:
+    """(path, width, height, y, x, r, g, b, a) of the pixels of each file's embedded preview; files without one give no row."""
+
+    def rows(path, content):
+        found = parse_file(content)[1][0].attributes.get("preview")
+        if found is not None:
+            w, h = struct.unpack_from("<2I", found[1])
+            if 8 + 4 * w * h != len(found[1]):
+                raise ValueError(f"a preview of {w} x {h} in {len(found[1])} bytes")
+            pixels_ = np.frombuffer(found[1], np.uint8, 4 * w * h, 8).reshape(-1, 4)
+            at = np.arange(w * h)
+            yield [[path] * len(at), [w] * len(at), [h] * len(at), at // max(w, 1), at % max(w, 1), *pixels_.T.astype(np.int32)]
+
+    return _mapped(frame, "path string, width int, height int, y int, x int, r int, g int, b int, a int", rows)
+
+
+#: Names that colour channels go by, the first that is there counts (fixed values).
+ALIASES = {"r": ("R", "r", "red", "Red"), "g": ("G", "g", "green", "Green"), "b": ("B", "b", "blue", "Blue"), "a": ("A", "a", "alpha", "Alpha")}
+
+
+def rgba(frame: DataFrame, rows: tuple[int, int] | None = None) -> DataFrame:
+    """(path, part, y, x, r, g, b, a) of flat parts by any of the usual names; colours that are absent are 0, an absent alpha is 1."""
+
+    def each(path, content):
+        version, found = parse_file(content)
+        for number, p in enumerate(found):
+            if p.kind.startswith("deep"):
+                continue
+            have = {c.name for c in p.channels}
+            names = {k: next((n for n in v if n in have), None) for k, v in ALIASES.items()}
+            for c in part_chunks(content, number, p, version):
+                if not _meets(c, rows, (0, 0)):
+                    continue
+                y, x, values = chunk_pixels(content, p, c, [n for n in names.values() if n])
+                keep = np.ones(len(y), bool) if rows is None else (y >= rows[0]) & (y <= rows[1])
+                n = int(keep.sum())
+                plain = [values[names[k]].filled(0.0)[keep] if names[k] else np.full(n, float(k == "a")) for k in "rgba"]
+                yield [[path] * n, np.full(n, number), y[keep], x[keep], *plain]
+
+    return _mapped(frame, "path string, part int, y bigint, x bigint, r double, g double, b double, a double", each)
 
 
 CHECKS = ("size", "header", "offsets", "chunks")
