@@ -131,27 +131,45 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """Distinct links (a, b) with a > b. Self links and nulls are ignored."""
+    return stored(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+
+
+def _star_round(links: DataFrame) -> DataFrame:
+    """A large star, in which each node hands its larger neighbours to the smallest id it knows, and a small star, in which it does so with the smaller ones."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # no more rows than links, and the last step takes repeated ones out
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    parent = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(parent, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return stored(small.unionByName(parent.select("a", F.col("m").alias("b"))).distinct(), "links")
+
+
+def shortened(edges: DataFrame, rounds: int) -> DataFrame:
+    """Links (a, b) with the same components as edges after so many rounds of stars, most of them straight to the component's smallest id."""
+    links = _links(edges)
+    for _ in range(rounds):
+        links = _star_round(links)
+    return links
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b: long): rows (id, component), the smallest id of each component.
 
-    Distributed union-find by alternating stars: in the large star each node hands its larger neighbours to the
-    smallest id it knows, in the small star the smaller ones. Both keep the components and flatten the trees, so the
-    rounds follow the logarithm of a component's size. State is a table in the shared folder after each round; only a
+    Distributed union-find by alternating stars. Both kinds keep the components and flatten the trees, so the rounds
+    follow the logarithm of a component's size. State is a table in the shared folder after each round; only a
     count and a checksum come to the driver. Ids without an edge are not returned; self links and nulls are ignored.
     """
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
-    links = stored(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = _links(edges)
     seen = mark(links)
     for _ in range(rounds):
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        parent = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(parent, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = stored(small.unionByName(parent.select("a", F.col("m").alias("b"))).distinct(), "links")
+        links = _star_round(links)
         now = mark(links)
         if now == seen:
             break
