@@ -1,4 +1,4 @@
-"""Chunk codecs over numpy: none, run coding, zlib by line or block, wavelets, 24-bit floats, and blocks of 4 x 4 halves.
+"""Chunk codecs over numpy: none, run coding, zlib by line or block, wavelets, 24-bit floats, blocks of 4 x 4 halves, and DCT chunks that keep all without loss.
 
 Two byte orders. In `native` files bytes are delta coded first and split into even and odd ones after (run coding takes
 no split), a run is a negative count, and a deep chunk's counts run on over its lines, its samples by pixel. In
@@ -18,8 +18,10 @@ from lumenframe.operators import piz
 
 UINT, HALF, FLOAT = 0, 1, 2
 DTYPES = {UINT: np.dtype("<u4"), HALF: np.dtype("<f2"), FLOAT: np.dtype("<f4")}
-NONE, RLE, ZIPS, ZIP, PIZ, PXR24, B44, B44A = 0, 1, 2, 3, 4, 5, 6, 7
-SUPPORTED = (NONE, RLE, ZIPS, ZIP, PIZ, PXR24, B44, B44A)
+NONE, RLE, ZIPS, ZIP, PIZ, PXR24, B44, B44A, DWAA, DWAB = range(10)
+SUPPORTED = (NONE, RLE, ZIPS, ZIP, PIZ, PXR24, B44, B44A, DWAA, DWAB)
+#: Words that head a DCT chunk, their version and their code for deflate (fixed values).
+DCT_WORDS, DCT_VERSION, DCT_DEFLATE = 11, 2, 1
 
 
 class CorruptChunk(ValueError):
@@ -260,6 +262,25 @@ def _piz_decode(packed: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(p[y].astype("<u2").tobytes() for y in range(height) for p in planes)
 
 
+def _dct_encode(data: bytes, level: int) -> bytes:
+    """A DCT chunk whose channels are all kept without loss, as chunks without channel rules are."""
+    packed = zlib.compress(data, level)
+    return struct.pack(f"<{DCT_WORDS}QI", DCT_VERSION, len(data), len(packed), *[0] * 7, DCT_DEFLATE, 0) + packed
+
+
+def _dct_decode(packed: bytes) -> bytes:
+    version, size, kept, *rest = struct.unpack_from(f"<{DCT_WORDS}QI", packed)
+    if version > DCT_VERSION:
+        raise CorruptChunk(f"DCT chunk of version {version}")
+    if any(rest[:7]):
+        raise NotImplementedError("DCT chunk with lossy or run coded channels")
+    at = struct.calcsize(f"<{DCT_WORDS}QI") + rest[-1]
+    data = zlib.decompress(packed[at : at + kept])
+    if len(data) != size:
+        raise CorruptChunk(f"{len(data)} bytes for {size}")
+    return data
+
+
 def encode(data: bytes, codec: int, runs: list[tuple[int, int]] | None = None, layout: str = "native", level: int = 6) -> bytes:
     """Packs a chunk. runs: (pixel type, values) of each line and channel, which only 24-bit floats need."""
     if codec not in SUPPORTED:
@@ -273,6 +294,8 @@ def encode(data: bytes, codec: int, runs: list[tuple[int, int]] | None = None, l
         packed = _piz_encode(data, runs)
     elif codec in (B44, B44A):
         packed = _b44_encode(data, runs, codec == B44A)
+    elif codec in (DWAA, DWAB):
+        packed = _dct_encode(data, level)
     elif codec == RLE:
         packed = run_encode(delta_encode(raw) if layout == "native" else delta_encode(split(raw), 128), layout)
     else:
@@ -295,6 +318,8 @@ def decode(packed: bytes, size: int, codec: int, runs: list[tuple[int, int]] | N
                 data = _b44_decode(packed, runs)
             elif codec == PIZ:
                 data = _piz_decode(packed, runs)
+            elif codec in (DWAA, DWAB):
+                data = _dct_decode(packed)
             elif codec == PXR24 and runs is not None:
                 data = _pxr24_decode(packed, runs)
             else:

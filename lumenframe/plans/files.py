@@ -107,6 +107,8 @@ def _flat_oracle() -> str:
 
 _add("cod7_b44_file", _blocks(codecs.B44), _flat_oracle())
 _add("cod7_b44a_file", _blocks(codecs.B44A), _flat_oracle())
+_add("cod8_dwaa_file", _round_trip(codecs.DWAA), _SAME)
+_add("cod8_dwab_file", _round_trip(codecs.DWAB), _SAME)
 _CODED = "SELECT cast(y {idiv} 64 as bigint) AS image, y, x, cast(((floor(v * 4096) % 65536) + 65536) % 65536 as int) AS s FROM plane"
 
 
@@ -163,6 +165,41 @@ def _rgba_oracle(alpha: str) -> str:
 
 _add("src16_rgba_scan", _rgba(False), _rgba_oracle("1.0::double"))
 _add("snk9_rgba_file", _rgba(True), _rgba_oracle("(x % 5) / 4.0::double"))
+#: The left view holds r, g and b, the right one their halves and an alpha.
+_EYES = "SELECT concat('im', cast(y {idiv} 64 as string)) AS image, y, x, r, g, b, r / 2 AS r2, g / 2 AS g2, b / 2 AS b2, (x % 5) / cast(4 as double) AS a2 FROM rgb"
+
+
+def _stereo_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parts, each with its view; the left one's alpha is written as 1."""
+    ship(spark)
+    rows = _view(spark, sf_dir, _EYES)
+    left = rows.select("image", F.lit(0).alias("part"), "y", "x", F.col("r").alias("R"), F.col("g").alias("G"), F.col("b").alias("B"), F.lit(1.0).alias("A"))
+    right = rows.select("image", F.lit(1).alias("part"), "y", "x", F.col("r2").alias("R"), F.col("g2").alias("G"), F.col("b2").alias("B"), F.col("a2").alias("A"))
+    form = pixsink.Layout({c: codecs.HALF for c in "RGBA"}, codecs.ZIP)
+    made = pixsink.assemble(pixsink.pack_pixels(left.unionByName(right), form), form, names=["left", "right"], views=["left", "right"])
+    return pixfile.stereo(made.withColumnRenamed("image", "path")).withColumnRenamed("path", "image")
+
+
+def _stereo_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part: the left view's channels name none, the right view's do."""
+    ship(spark)
+    names = {"r": "R", "g": "G", "b": "B", "r2": "right.R", "g2": "right.G", "b2": "right.B", "a2": "right.A"}
+    rows = _view(spark, sf_dir, _EYES).withColumnsRenamed(names).withColumn("part", F.lit(0))
+    listed = b"".join(struct.pack("<i", len(v)) + v for v in (b"left", b"right"))
+    form = pixsink.Layout({c: codecs.HALF for c in names.values()}, codecs.ZIP, attributes={"multiView": ("stringvector", listed)})
+    made = pixsink.assemble(pixsink.pack_pixels(rows.select("image", "part", "y", "x", *[f"`{c}`" for c in names.values()]), form), form)
+    return pixfile.stereo(made.withColumnRenamed("image", "path")).withColumnRenamed("path", "image")
+
+
+def _stereo_oracle() -> str:
+    from lumenframe.functions import half
+
+    halves = ", ".join(f"{half(f'({c} / 2)')} AS {c}" for c in "rgb")
+    return f"SELECT {_IMAGE} AS image, 'left' AS \"view\", y, x, {half('r')} AS r, {half('g')} AS g, {half('b')} AS b, 1.0::double AS a FROM rgb UNION ALL SELECT {_IMAGE} AS image, 'right' AS \"view\", y, x, {halves}, (x % 5) / 4.0::double AS a FROM rgb"
+
+
+_add("snk12_stereo_parts", _stereo_parts, _stereo_oracle())
+_add("src21_stereo_channels", _stereo_channels, _stereo_oracle())
 _PREVIEW = struct.pack("<2I", 4, 3) + bytes(i * 7 % 256 for i in range(48))
 
 

@@ -56,6 +56,21 @@ add("sc12_rgb_to_xyz", f"WITH q AS ({_XYZ}) SELECT name, " + ", ".join(f"{r6(f's
 BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
 _CONES = lambda w: ", ".join(f"({fn.lit(m[0])} * {w}x / {w}y + {fn.lit(m[1])} + {fn.lit(m[2])} * (1 - {w}x - {w}y) / {w}y) AS {w}{i}" for i, m in enumerate(BRADFORD))
 add("sc13_adaptation_gains", f"WITH w AS (SELECT a.name AS source, b.name AS target, a.wx AS ax, a.wy AS ay, b.wx AS tx, b.wy AS ty FROM {_PRIM.replace(' t(', ' a(')} CROSS JOIN {_PRIM.replace(' t(', ' b(')}), c AS (SELECT source, target, {_CONES('a')}, {_CONES('t')} FROM w) SELECT source, target, {r6('t0 / a0')} AS rho, {r6('t1 / a1')} AS gamma, {r6('t2 / a2')} AS beta FROM c")
+#: The inverse cone response, rounded to six places (fixed values).
+CONES_BACK = ((0.986993, -0.147054, 0.159963), (0.432305, 0.518360, 0.049291), (-0.008529, 0.040043, 0.968487))
+_TURNED = lambda m: tuple(zip(*m, strict=True))
+
+
+def _adaptation(mode: str, cones: tuple, first: tuple, last: tuple) -> str:
+    """Rows (source, target, mode, m11 to m33): first x gains x last, the gains being those of the whites' cone responses."""
+    seen = lambda w: ", ".join(f"({fn.lit(m[0])} * {w}x / {w}y + {fn.lit(m[1])} + {fn.lit(m[2])} * (1 - {w}x - {w}y) / {w}y) AS {w}{i}" for i, m in enumerate(cones))
+    cells = ", ".join(r6(" + ".join(f"{fn.lit(first[i][k] * last[k][j])} * t{k} / a{k}" for k in range(3))) + f" AS m{i + 1}{j + 1}" for i in range(3) for j in range(3))
+    return f"SELECT source, target, '{mode}' AS mode, {cells} FROM (SELECT source, target, {seen('a')}, {seen('t')} FROM w) {mode}_"
+
+
+# the reference form takes the cone response by columns throughout, the colorimetric one maps the source's white onto the target's
+_WHITES = f"w AS (SELECT a.name AS source, b.name AS target, a.wx AS ax, a.wy AS ay, b.wx AS tx, b.wy AS ty FROM {_PRIM.replace(' t(', ' a(')} CROSS JOIN {_PRIM.replace(' t(', ' b(')})"
+add("sc13_adaptation_matrix", f"WITH {_WHITES} {_adaptation('reference', _TURNED(BRADFORD), _TURNED(BRADFORD), _TURNED(CONES_BACK))} UNION ALL {_adaptation('colorimetric', BRADFORD, CONES_BACK, BRADFORD)}")
 _LOG = fn.lit(2.2)
 scalar("sc17_log_tables", "plane", "y, x", plinear=r6("CASE WHEN v <= 0 THEN 0 ELSE 8 * ln(v) END"), expanded=r6("exp(v / 8)"), nonlinear=r6(f"CASE WHEN abs(v) <= 1 THEN sign(v) * pow(abs(v), 1 / {_LOG}) ELSE sign(v) * (ln(abs(v)) / {_LOG} + 1) END"))
 scalar("sc19_csc709", "rgb", "y, x", luma=r6(_Y), cb=r6(f"(b - {_Y}) / {fn.lit(1.8556)}"), cr=r6(f"(r - {_Y}) / {fn.lit(1.5748)}"))

@@ -410,6 +410,61 @@ def rgba(frame: DataFrame, rows: tuple[int, int] | None = None) -> DataFrame:
     return _mapped(frame, "path string, part int, y bigint, x bigint, r double, g double, b double, a double", each)
 
 
+#: Names that a view's colour channels go by (fixed values).
+STEREO = {"R": "r", "r": "r", "G": "g", "g": "g", "B": "b", "b": "b", "A": "a", "a": "a"}
+
+
+def _strings(raw: bytes) -> list[str]:
+    found, at = [], 0
+    while at < len(raw):
+        n = struct.unpack_from("<i", raw, at)[0]
+        found.append(raw[at + 4 : at + 4 + n].decode())
+        at += 4 + n
+    return found
+
+
+def view_channels(part: Part) -> dict[str, dict[str, str]]:
+    """Of each view of a part, the channel that holds each of r, g, b and a.
+
+    A part with a `view` is that view. Else `multiView` lists the views, the first being that of channels that name
+    none; a name's last component but one is its view if it is listed. Of several channels the last by name stands.
+    """
+    if "view" in part.attributes:
+        views, own = [part.attributes["view"][1].decode()], True
+    else:
+        views, own = _strings(part.attributes.get("multiView", ("", b""))[1]), False
+    found: dict[str, dict[str, str]] = {v: {} for v in views}
+    for c in part.channels:
+        *lead, base = c.name.split(".")
+        if own and lead or base not in STEREO or not views:
+            continue
+        view = lead[-1] if not own and lead and lead[-1] in views else views[0]
+        found[view][STEREO[base]] = c.name
+    return found
+
+
+def stereo(frame: DataFrame, view: str | None = None) -> DataFrame:
+    """(path, view, y, x, r, g, b, a) of the views of flat files, kept as parts or as channels of one part.
+
+    Colours that are absent are 0, an absent alpha is 1; files without views give no row.
+    """
+
+    def each(path, content):
+        version, found = parse_file(content)
+        for number, p in enumerate(found):
+            wanted = {v: c for v, c in view_channels(p).items() if view in (None, v)}
+            if p.kind.startswith("deep") or not wanted:
+                continue
+            for c in part_chunks(content, number, p, version):
+                if not _meets(c, None, (0, 0)):
+                    continue
+                y, x, values = chunk_pixels(content, p, c, sorted({n for names in wanted.values() for n in names.values()}))
+                for v, names in wanted.items():
+                    yield [[path] * len(y), [v] * len(y), y, x, *[values[names[k]].filled(0.0) if k in names else np.full(len(y), float(k == "a")) for k in "rgba"]]
+
+    return _mapped(frame, "path string, view string, y bigint, x bigint, r double, g double, b double, a double", each)
+
+
 CHECKS = ("size", "header", "offsets", "chunks")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -100,15 +100,16 @@ def pack_pixels(frame: DataFrame, form: Layout) -> DataFrame:
         shape = box[3] - box[1] + 1, box[2] - box[0] + 1
         at = rows["y"].to_numpy() - box[1], rows["x"].to_numpy() - box[0]
         planes = []
-        for name, kind in form.channels.items():
+        for i, kind in enumerate(form.channels.values()):
             plane = np.zeros(shape, codecs.DTYPES[kind])
-            plane[at] = _numbers(rows[name], kind)
+            plane[at] = _numbers(rows[f"_c{i}"], kind)
             planes.append(plane)
         raw = b"".join(p[y].tobytes() for y in range(shape[0]) for p in planes)
         runs = [(k, shape[1]) for _ in range(shape[0]) for k in form.channels.values()]
         return _row(first, form, box, 0, len(raw), codecs.encode(raw, form.codec, runs, form.layout, form.level))
 
-    keep = ["image", "part", "y", "x", *form.channels]
+    # channels go by number, as grouped frames take no names with a dot
+    keep = ["image", "part", "y", "x", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(form.channels)]]
     return _placed(frame.select(keep), form).groupBy("image", "part", "tx", "ty").applyInPandas(pack, _CHUNK)
 
 
@@ -135,8 +136,8 @@ def pack_samples(frame: DataFrame, form: Layout, order: list[str]) -> DataFrame:
     return _placed(frame.select(keep), form).groupBy("image", "part", "tx", "ty").applyInPandas(pack, _CHUNK)
 
 
-def assemble(chunks: DataFrame, form: Layout, deep: bool = False, names: list[str] | None = None) -> DataFrame:
-    """(image, content) of whole files. names: one for each part, for files of several; chunks without a pixel are packed as zeros."""
+def assemble(chunks: DataFrame, form: Layout, deep: bool = False, names: list[str] | None = None, views: list[str] | None = None) -> DataFrame:
+    """(image, content) of whole files. names: one for each part, for files of several, and their views, if any; chunks without a pixel are packed as zeros."""
     kind = pixfile.KINDS[bool(form.tile) + 2 * deep]
     flags = 2 | (pixfile.TILED if form.tile and not deep and not names else 0) | (pixfile.DEEP if deep else 0) | (pixfile.MULTIPART if names else 0)
 
@@ -149,7 +150,8 @@ def assemble(chunks: DataFrame, form: Layout, deep: bool = False, names: list[st
             across = -(-(window[2] - window[0] + 1) // form.tile[0]) if form.tile else 1
             down = -(-(window[3] - window[1] + 1) // (form.tile[1] if form.tile else LINES_PER_CHUNK[form.codec]))
             total = across * down
-            heads.append(header(form, window, kind, names[int(number)] if names else None, total))
+            own = replace(form, attributes=form.attributes | {"view": ("string", views[int(number)].encode())}) if views else form
+            heads.append(header(own, window, kind, names[int(number)] if names else None, total))
             plan = []
             for index in range(total):
                 place = first.copy()

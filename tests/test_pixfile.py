@@ -145,3 +145,20 @@ def test_manifests():
     for bad in (b"", b"x", manifests.encode(groups)[:-4]):
         with pytest.raises(ValueError):
             manifests.decode(bad)
+
+
+def test_channels_of_views():
+    channels = [pixfile.Channel(n, codecs.HALF) for n in ("B", "G", "R", "Z", "fg.R", "fg.right.A", "right.G", "right.R")]
+    listed = b"".join(len(v).to_bytes(4, "little") + v for v in (b"left", b"right"))
+    found = pixfile.view_channels(pixfile.Part({"multiView": ("stringvector", listed)}, channels))
+    assert found == {"left": {"b": "B", "g": "G", "r": "fg.R"}, "right": {"a": "fg.right.A", "g": "right.G", "r": "right.R"}}
+    assert pixfile.view_channels(pixfile.Part({"view": ("string", b"left")}, channels)) == {"left": {"b": "B", "g": "G", "r": "R"}}
+    assert pixfile.view_channels(pixfile.Part({}, channels)) == {}
+
+
+def test_dct_chunks_with_lossy_channels_are_told():
+    data = bytes(range(200)) * 4
+    packed = codecs.encode(data, codecs.DWAA)
+    assert codecs.decode(packed, len(data), codecs.DWAA) == data
+    with pytest.raises(NotImplementedError):
+        codecs.decode(packed[:24] + b"\1" + packed[25:], len(data), codecs.DWAA)

@@ -73,3 +73,12 @@ def test_matrix_of_rec709(spark, sf):
 
 def test_zigzag_order():
     assert values.zigzag()[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24]
+
+
+def test_adaptation_maps_white_onto_white(spark, sf):
+    rows = catalogue.QUERIES["sc13_adaptation_matrix"](spark, sf).where("mode = 'colorimetric'").collect()
+    white = {n: np.array([p[3][0] / p[3][1], 1.0, (1 - p[3][0] - p[3][1]) / p[3][1]]) for n, p in values.PRIMARIES.items()}
+    assert len(rows) == 4
+    for r in rows:
+        m = np.array([[r[f"m{i}{j}"] for j in (1, 2, 3)] for i in (1, 2, 3)])
+        assert np.abs(m @ white[r["source"]] - white[r["target"]]).max() < 1e-5
