@@ -127,7 +127,30 @@ add("agg14_chroma_average", f"SELECT y {{idiv}} 2 AS y2, x {{idiv}} 2 AS x2, rou
 add("agg20_bounding_union", "SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS n FROM windows")
 add("agg22_level_counts", "SELECT o_custkey, cast(floor(log2(greatest(maxx - minx + 1, maxy - miny + 1))) as int) + 1 AS levels, cast(ceil((maxx - minx + 1) / 16.0) as bigint) * cast(ceil((maxy - miny + 1) / 16.0) as bigint) AS tiles FROM windows")
 add("agg24_histogram", "SELECT b, count(*) AS n FROM bytes GROUP BY b")
-add("agg23_byte_runs", "WITH m AS (SELECT doc_id, pos, b, CASE WHEN lag(b) OVER (PARTITION BY doc_id ORDER BY pos) = b THEN 0 ELSE 1 END AS new FROM bytes), g AS (SELECT doc_id, b, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m) SELECT doc_id, cast(run as bigint) AS run, min(pos) AS start, max(b) AS b, count(*) AS n FROM g GROUP BY doc_id, run")
+_RUNS = "WITH m AS (SELECT doc_id, pos, b, CASE WHEN lag(b) OVER (PARTITION BY doc_id ORDER BY pos) = b THEN 0 ELSE 1 END AS new FROM bytes), g AS (SELECT doc_id, b, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m) SELECT doc_id, cast(run as bigint) AS run, min(pos) AS start, max(b) AS b, count(*) AS n FROM g GROUP BY doc_id, run"
+add("agg23_byte_runs", _RUNS)
+
+
+def byte_runs(session: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a text are told within its row, so no character is shuffled or sorted. Rows that repeat a doc_id share its partition and take the statement's windows; ids are asked for that first. An empty text has no bytes."""
+    table = f"parquet.`{sf_dir}/documents.parquet`"
+    repeated = f"(SELECT doc_id FROM {table} GROUP BY doc_id HAVING count(*) > 1)"
+    some = not session.sql(f"SELECT 1 FROM {repeated}").isEmpty()
+    bytes_ = _filled("transform(split(text, ''), c -> {code} & 255)", SPARK)
+    # outer, since the optimizer would else build the arrays again for a filter on their size
+    own = session.sql(f"""
+WITH d AS (SELECT doc_id, {bytes_} AS bs FROM {table} t {f"LEFT ANTI JOIN {repeated} r ON t.doc_id <=> r.doc_id" if some else ""} WHERE text <> ''),
+f AS (SELECT doc_id, bs, filter(sequence(0, size(bs) - 1), p -> NOT get(bs, p) <=> get(bs, p - 1)) AS firsts FROM d),
+e AS (SELECT doc_id, bs, firsts, posexplode_outer(firsts) AS (k, start) FROM f)
+SELECT doc_id, cast(k + 1 as bigint) AS run, start, bs[start] AS b, cast(coalesce(get(firsts, k + 1), size(bs)) - start as bigint) AS n FROM e WHERE start IS NOT NULL""")
+    if not some:
+        return own
+    shared = f"FROM (SELECT t.* FROM {table} t LEFT SEMI JOIN {repeated} r ON t.doc_id <=> r.doc_id WHERE text <> '') AS documents "
+    return own.unionByName(session.sql(_BYTE_RUNS.replace("FROM documents ", shared)))
+
+
+_BYTE_RUNS = _with(_RUNS, SPARK)
+QUERIES["agg23_byte_runs"] = byte_runs
 add("win1_delta_encode", "SELECT doc_id, pos, ((b - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0)) % 256 + 256) % 256 AS d FROM bytes")
 add("win2_delta_decode", "WITH e AS (SELECT doc_id, pos, ((b - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0)) % 256 + 256) % 256 AS d FROM bytes) SELECT doc_id, pos, cast(sum(d) OVER (PARTITION BY doc_id ORDER BY pos) % 256 as int) AS b FROM e")
 add("win4_run_segments", "WITH m AS (SELECT doc_id, pos, b, CASE WHEN lag(b) OVER (PARTITION BY doc_id ORDER BY pos) = b THEN 0 ELSE 1 END AS new FROM bytes), g AS (SELECT doc_id, b, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m), c AS (SELECT doc_id, run, count(*) AS n FROM g GROUP BY doc_id, run) SELECT doc_id, count(*) AS runs, cast(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) as bigint) AS long_runs FROM c GROUP BY doc_id")
