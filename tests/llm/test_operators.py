@@ -6,6 +6,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenframe.llm import bpe, fingerprints, langid, line_dedup, mixing, near_dedup, suffix_dedup, topk, toxicity, warc
@@ -386,3 +387,12 @@ def test_components(spark):
         return x if parent[x] == x else find(parent[x])
 
     assert got == {x: find(x) for x in parent}
+
+
+def test_lines_lose_their_outer_white_space():
+    rng = random.Random(12)
+    space = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 10]
+    given = [" " * n + "x 　y" + "　" * n + "\n" + "\xa0" * n for n in (0, 1, 64, 65, 300)]
+    given += ["".join(rng.choice([*space, "a", "é", "、", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    got = [(a + r, p, bytes(raw[s:e]).decode()) for a, raw, *each, _ in line_dedup.lines(pa.array(given)) for r, p, s, e in zip(*each, strict=True)]
+    assert got == [(i, p, x.strip()) for i, t in enumerate(given) for p, x in enumerate(t.split("\n")) if x.strip()]
