@@ -396,3 +396,35 @@ def test_lines_lose_their_outer_white_space():
     given += ["".join(rng.choice([*space, "a", "é", "、", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(500)]
     got = [(a + r, p, bytes(raw[s:e]).decode()) for a, raw, *each, _ in line_dedup.lines(pa.array(given)) for r, p, s, e in zip(*each, strict=True)]
     assert got == [(i, p, x.strip()) for i, t in enumerate(given) for p, x in enumerate(t.split("\n")) if x.strip()]
+
+
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    plans, stored = [], line_dedup.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    kept = line_dedup.deduplicate(pair_frame(spark, [("a line that is here twice", "a line that is here twice!")]))
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Arrow" in p or "Python" in p or "Pandas" in p]
+    assert [r["n_removed"] for r in kept.orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_line_dedup_of_few_shingles_and_wide_characters(spark):
+    rng = random.Random(14)
+    long_ = "".join(rng.choice("😀😁x😂y é") for _ in range(300)) + "."
+    same = [("-" * 12, "-" * 900), ("ab" * 30, "ab" * 200 + "a"), ("one two three four. " * 4, "one two three four. " * 30), (long_, long_[:-1] + "!"), ("😀😁😂😃😄" * 3, "😀😁😂😃😄" * 40), ("ΑΣ ΟΔΟΣ İ", "ασ οδοσ i")]
+    apart = [("-" * 4, "-" * 3), ("😀" * 4, "😁" * 4), (long_[:150] + "".join(rng.choice("abcdefgh") for _ in range(150)), long_[5:100])]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicate(pair_frame(spark, same + apart)).collect()}
+    assert got == {i: int(i % 2 and i < 2 * len(same)) for i in range(2 * len(same + apart))}
+
+
+def test_native_lines_are_those_of_arrow(spark):
+    rng = random.Random(13)
+    space = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 10]
+    given = ["".join(rng.choice([*space, "a", "É", "、", "😀", "Σ", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", None]
+    frame = spark.createDataFrame(list(enumerate(given)), "doc long, text string")
+    want = [(a + r, p, bytes(raw[s:e]).decode()) for a, raw, *each, _ in line_dedup.lines(pa.array(given)) for r, p, s, e in zip(*each, strict=True)]
+    assert sorted((r["doc"], r["pos"], r["norm"]) for r in line_dedup.placed_lines(frame).collect()) == sorted(want)
